@@ -15,8 +15,8 @@ from tessera.llm.common import prepare_python, raw
 #: Subwords are hashed to 2 ** BITS embeddings of WIDTH numbers.
 BITS, WIDTH = 16, 16
 #: Most labelled documents that are learned from; a fifth of them are for calibration only.
-SAMPLE = 2_500
-PASSES, RATE, BATCH = 30, 2.0, 32
+SAMPLE = 1_500
+PASSES, RATE, BATCH = 10, 4.0, 16
 #: Predictions with a lower calibrated score are marked as rejected.
 REJECT = 0.5
 BLOCK = 1 << 20
