@@ -18,7 +18,7 @@ from tessera.llm.common import prepare_python, raw, saved
 
 CAPACITY = 2048
 #: Distinct words whose ids a worker remembers, and the longest word that it remembers.
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 48
 #: Matches that are sent to all executors. More are joined by a shuffle.
 BROADCAST_MATCHES = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
