@@ -156,11 +156,11 @@ def lookup_candidates(spark, sf_dir):
     return fingerprints.lookup(small_fingerprints(spark, sf_dir), library(spark, sf_dir), 5)
 
 
-@query(f"WITH {_FP}, changed AS (SELECT id + 0 AS id, fp FROM fp WHERE id % 10 = 0), put AS (SELECT id, fp + 1 AS fp FROM changed) SELECT count(*) AS n, count(DISTINCT id) AS modules, sum(fp) AS total FROM (SELECT * FROM fp WHERE id NOT IN (SELECT id FROM put) UNION ALL SELECT * FROM put)")
+@query(f"WITH {_FP}, changed AS (SELECT id + 0 AS id, fp FROM fp WHERE id % 10 = 0), put AS (SELECT id, fp + 1 AS fp FROM changed) SELECT count(*) AS n, count(DISTINCT id) AS modules, sum(fp)::BIGINT AS total FROM (SELECT * FROM fp WHERE id NOT IN (SELECT id FROM put) UNION ALL SELECT * FROM put)")
 def index_update(spark, sf_dir):
     fps = module_fingerprints(spark, sf_dir)
     put = fps.where("id % 10 = 0").select("id", (F.col("fp") + 1).alias("fp"))
-    return fingerprints.replace_modules(fps, put).agg(F.count("*").alias("n"), F.countDistinct("id").alias("modules"), F.sum("fp").cast("decimal(38,0)").alias("total"))
+    return fingerprints.replace_modules(fps, put).agg(F.count("*").alias("n"), F.countDistinct("id").alias("modules"), F.sum("fp").alias("total"))
 
 
 @query(f"WITH {_FP} SELECT fp.id, count(*) AS n FROM fp JOIN documents ON doc_id = id WHERE source <> 'src0' GROUP BY fp.id")
@@ -181,7 +181,7 @@ def ir_trees(spark, sf_dir) -> DataFrame:
     return lines.groupBy("id").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_set("kind")).alias("types"), F.count("*").alias("n")).withColumn("depth", F.size("types").cast("long"))
 
 
-@query(f"WITH {_IR} SELECT array_to_string(types, '+') AS types, depth, count(*) AS trees, sum(n) AS nodes FROM ir GROUP BY 1, 2")
+@query(f"WITH {_IR} SELECT array_to_string(types, '+') AS types, depth, count(*) AS trees, sum(n)::BIGINT AS nodes FROM ir GROUP BY 1, 2")
 def ir_lines(spark, sf_dir):
     return ir_trees(spark, sf_dir).groupBy(F.array_join("types", "+").alias("types"), "depth").agg(F.count("*").alias("trees"), F.sum("n").alias("nodes"))
 
