@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import prepare_python, raw, saved
@@ -23,6 +23,10 @@ SYMBOLS = CHUNKS * CHUNK
 MOST_ERRORS = 2 * CHUNKS - 1
 #: Rounds in which each bucket's rows are compared with one of its rows only, before all that is left.
 STAR_ROUNDS = 2
+#: Buckets of at most so many rows are expanded at once in the end; rows of larger ones meet by their rare shingles.
+SMALL_BUCKET = 6
+#: Rows compared at once; shingles of a set's sample; percent by which a sample's similarity may be too low (five standard deviations).
+CELL, SAMPLE, SAMPLE_SLACK = 1024, 256, 18
 
 _rng = np.random.default_rng(20_240_501)
 _FACTORS = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,6 +143,109 @@ def _confirm(percent: int):
     return confirm
 
 
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashes = WordHashes()
+    for frame in batches:
+        reps = frame["rep"].to_numpy(dtype="int64")
+        for at in range(0, len(reps), 32):
+            own = reps[at : at + 32]
+            sets = [shingle_set(t, hashes) for t in frame["raw"].iloc[at : at + 32]]
+            sizes = [len(s) for s in sets]
+            yield pd.DataFrame({"rep": np.repeat(own, sizes), "shingle": np.concatenate(sets).view(np.int64), "n": np.repeat(sizes, sizes)})
+
+
+def _level(n: int) -> int:
+    """Of a set of n shingles the part 2**-level is sampled, so that about SAMPLE are left at most."""
+    return max(0, (int(n) - 1) // SAMPLE).bit_length()
+
+
+def _samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The top halves of each set's shingles under its level's bound: the whole set if it is small."""
+    hashes = WordHashes()
+    for frame in batches:
+        sets = [shingle_set(t, hashes) for t in frame["raw"]]
+        tops = [(s >> np.uint64(32)).astype("<u4") for s in sets]
+        yield pd.DataFrame({"rep": frame["rep"], "n": [len(s) for s in sets], "sample": [t[t < (1 << 32) >> _level(len(t))].tobytes() for t in tops]})
+
+
+def _similar_in(cell: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(a, b): pairs of a cell, of different components, whose samples are similar enough; by matrix products of blocks of columns."""
+    levels = cell["n"].map(_level).to_numpy()
+    rep, component, block = (cell[c].to_numpy() for c in ("rep", "component", "block"))
+    found = []
+    for level in np.unique(levels):
+        at = np.flatnonzero((levels == level) | (levels == level - 1))
+        if len(np.unique(component[at])) < 2:
+            continue
+        values = [np.frombuffer(x, dtype="<u4") for x in cell["sample"].iloc[at]]
+        values = [v[v < (1 << 32) >> int(level)] for v in values]
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+        of = np.repeat(np.arange(len(at)), sizes)
+        _, place, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        held = times[place] > 1
+        of, place = of[held], (np.cumsum(times > 1) - 1)[place[held]]
+        both = np.zeros((len(at), len(at)), dtype=np.float32)
+        order = np.argsort(place, kind="stable")
+        of, place = of[order], place[order]
+        for start in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+            lo, hi = np.searchsorted(place, [start, start + 4096])
+            m = np.zeros((len(at), min(4096, int(place[-1]) + 1 - start)), dtype=np.float32)
+            m[of[lo:hi], place[lo:hi] - start] = 1
+            both += m @ m.T
+        union = sizes[:, None] + sizes[None, :] - both
+        enough = 100 * both >= (percent if level == 0 else max(percent - SAMPLE_SLACK, 1)) * union
+        enough &= (component[at][:, None] != component[at][None, :]) & ((levels[at] == level)[:, None] | (levels[at] == level)[None, :])
+        if block.min() != block.max():
+            enough &= block[at][:, None] != block[at][None, :]
+        x, y = np.nonzero(np.triu(enough, 1))
+        found.append(pd.DataFrame({"a": np.minimum(rep[at][x], rep[at][y]), "b": np.maximum(rep[at][x], rep[at][y])}))
+    return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+
+def _cells(percent: int):
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for frame in batches:
+            frame = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            key = frame[["shingle", "i", "j"]].to_numpy()
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                yield _similar_in(frame.iloc[lo:hi], percent)
+            kept = frame.iloc[edges[-1] :]
+        if kept is not None and len(kept):
+            yield _similar_in(kept, percent)
+
+    return cells
+
+
+def _rare_pairs(texts: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that share one of their rarest shingles, as any two similar sets do, and whose samples are similar.
+
+    Of n shingles, n - ceil(n * percent / 100) + 1 can't all be missing from a set that is similar enough; those that
+    the fewest of these sets have are taken. Shingles that one set alone has take their places without being joined.
+    Sets with such a shingle in common are compared in cells of two blocks of about CELL / 2 rows, so no task holds a
+    group and no pair is a row unless its samples agree. Sets of up to SAMPLE shingles are compared as they are.
+    """
+    shingles = saved(texts.mapInPandas(_sets, "rep long, shingle long, n long"), "shingles")
+    shared = shingles.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
+    rows = shingles.join(shared, "shingle")
+    own = Window.partitionBy("rep")
+    rows = rows.withColumn("place", F.row_number().over(own.orderBy("c", "shingle")) + F.col("n") - F.count("*").over(own))
+    rows = rows.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("rep", "shingle")
+    rows = rows.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = saved(rows, "rare")
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("shingle", F.ceil(F.col("c") / (CELL // 2)).cast("int").alias("blocks"))
+    samples = saved(texts.mapInPandas(_samples, "rep long, n long, sample binary"), "samples")
+    rows = rows.join(mixed, "shingle").withColumn("block", F.when(F.col("blocks") <= 2, 0).otherwise(F.pmod(F.xxhash64("rep"), "blocks")).cast("int"))
+    others = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = rows.select("rep", "component", "shingle", "block", F.explode(others).alias("other")).join(samples, "rep")
+    cells = cells.select("rep", "component", "n", "sample", "shingle", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    cells = cells.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    return cells.mapInPandas(_cells(percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """Link texts whose shingle sets are similar enough; (doc_id, n_shingles, component_id, kept), one row a row.
 
@@ -148,9 +255,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        SYMBOLS symbols shares a bucket. At a similarity of 0.75 a pair differs in 16 symbols on average, 3.5 the
        standard deviation, so more than 31 are met less than once in 100,000 such pairs.
     3. Candidates within that distance are confirmed on the full sets. Buckets are not expanded at once: first each row
-       is compared with one row of its bucket (two rounds, other orders), and confirmed links are merged; what
-       remains are pairs of a bucket whose rows are still in different components, and those are all compared.
-       No link between components is lost: a pair is left out only if its ends are connected already.
+       is compared with one row of its bucket (two rounds, other orders), and confirmed links are merged. What
+       remains are buckets whose rows are still in different components. Small ones are expanded; rows of larger
+       ones, as texts around a common passage fill them, are compared with those that share one of their rarest
+       shingles, which similar sets always do. No link between components is lost: a pair is left out only if its
+       ends are connected already or its sets can't be similar enough.
 
     Null texts and texts without words have no shingles and are linked with nothing. Rows that share an id share its
     component; the least id stands for it, and a null id is its own component (kept). An empty table gives an empty result.
@@ -189,15 +298,22 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, percent
             hubs = rows.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.struct(order, F.col("rep"))).alias("hub"))
             pairs = rows.join(hubs, "key").where("component <> hub.component").select(F.col("rep").alias("x"), F.col("hub.rep").alias("y"))
         else:
-            other = rows.select("key", F.col("rep").alias("y"), F.col("component").alias("c"))
-            pairs = rows.join(other, "key").where("rep < y and component <> c").select(F.col("rep").alias("x"), "y")
+            sizes = saved(rows.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+            few = rows.join(sizes.where(F.col("n") <= SMALL_BUCKET).select("key"), "key")
+            other = few.select("key", F.col("rep").alias("y"), F.col("component").alias("c"))
+            pairs = few.join(other, "key").where("rep < y and component <> c").select(F.col("rep").alias("x"), "y")
+            many = rows.join(sizes.where(F.col("n") > SMALL_BUCKET).select("key"), "key").select("rep").distinct()
+            rare = saved(_rare_pairs(texts.join(many, "rep"), component, percent), "rare-pairs")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         signed = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
         near = saved(signed.withColumn("errors", F.pandas_udf(_errors, "int")("sig_a", "sig_b")).select("a", "b", "errors"), "pairs")
         tested = near.select("a", "b") if tested is None else tested.unionByName(near.select("a", "b"))
-        whole = near.where(F.col("errors") <= MOST_ERRORS).select("a", "b").join(texts.select(F.col("rep").alias("a"), F.col("raw").alias("raw_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("raw").alias("raw_b")), "b")
+        chosen = near.where(F.col("errors") <= MOST_ERRORS).select("a", "b")
+        if round_no == star_rounds:
+            chosen = chosen.unionByName(rare).distinct()
+        whole = chosen.join(texts.select(F.col("rep").alias("a"), F.col("raw").alias("raw_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("raw").alias("raw_b")), "b")
         good = saved(whole.select("a", "b", "raw_a", "raw_b").mapInPandas(_confirm(percent), "a long, b long"), "links")
         links = good if links is None else links.unionByName(good)
         if round_no < star_rounds:
