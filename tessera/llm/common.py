@@ -55,6 +55,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove a table that saved() wrote and that nothing reads any more: what came of it is written itself."""
+    context = table.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        where = context._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the value as text, modulo; null counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

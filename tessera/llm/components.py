@@ -12,9 +12,10 @@ def connected_components(edges: DataFrame, first: str = "a", second: str = "b")
     """(node, component): the least node that is reachable, for each node that has an edge to another.
 
     Each round links a node's larger neighbours, then its smaller ones, with the least of its neighbours, until the
-    edges are stars: no node has two ends above it, or is both an upper and a lower end. A node's least neighbour is aggregated before the shuffle, and edges meet it in an equi-join that
-    adaptive execution splits, so a node with very many edges is no hot task. Rounds are written tables: a lost
-    executor repeats one round at most. Without edges the result is empty.
+    edges are stars: no node has two ends above it, or is both an upper and a lower end.
+    A node's least neighbour is aggregated before the shuffle, and edges meet it in an equi-join that adaptive
+    execution splits, so a node with very many edges is no hot task. Rounds are written tables: a lost executor
+    repeats one round at most. Without edges the result is empty.
     """
     now = edges.select(F.greatest(first, second).alias("u"), F.least(first, second).alias("v")).where("u <> v").distinct()
     now = saved(now, "edges")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare_python, raw, saved
+from tessera.llm.common import discard, prepare_python, raw, saved
 from tessera.llm.components import connected_components
 
 SHINGLE = 5
@@ -197,11 +197,30 @@ def _similar_in(cell: pd.DataFrame, percent: int) -> pd.DataFrame:
         enough &= (component[at][:, None] != component[at][None, :]) & ((levels[at] == level)[:, None] | (levels[at] == level)[None, :])
         if block.min() != block.max():
             enough &= block[at][:, None] != block[at][None, :]
-        x, y = np.nonzero(np.triu(enough, 1))
+        enough = np.triu(enough, 1)
+        if enough.any():
+            enough &= ~_met_before(cell["rare"].iloc[at], int(cell["shingle"].iloc[0]) >> 32)
+        x, y = np.nonzero(enough)
         found.append(pd.DataFrame({"a": np.minimum(rep[at][x], rep[at][y]), "b": np.maximum(rep[at][x], rep[at][y])}))
     return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 
+def _met_before(rare: pd.Series, here: int) -> np.ndarray:
+    """Pairs of rows that share a rare shingle before this cell's one: they meet in that one's cell."""
+    before = [v[v < here] for v in (np.asarray(x) for x in rare)]
+    of = np.repeat(np.arange(len(before)), [len(v) for v in before])
+    _, place, times = np.unique(np.concatenate(before), return_inverse=True, return_counts=True)
+    held = times[place] > 1
+    of, place = of[held], (np.cumsum(times > 1) - 1)[place[held]]
+    met = np.zeros((len(before), len(before)), dtype=bool)
+    for start in range(0, int(place.max()) + 1 if len(place) else 0, 4096):
+        here_too = (place >= start) & (place < start + 4096)
+        m = np.zeros((len(before), 4096), dtype=np.float32)
+        m[of[here_too], place[here_too] - start] = 1
+        met |= m @ m.T > 0
+    return met
+
+
 def _cells(percent: int):
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
@@ -226,7 +245,7 @@ def _rare_pairs(texts: DataFrame, component: DataFrame, percent: int) -> DataFra
     Of n shingles, n - ceil(n * percent / 100) + 1 can't all be missing from a set that is similar enough; those that
     the fewest of these sets have are taken. Shingles that one set alone has take their places without being joined.
     Sets with such a shingle in common are compared in cells of two blocks of about CELL / 2 rows, so no task holds a
-    group and no pair is a row unless its samples agree. Sets of up to SAMPLE shingles are compared as they are.
+    group and no pair is a row unless its samples agree, and then in the first of its cells only. Sets of up to SAMPLE shingles are compared as they are.
     """
     shingles = saved(texts.mapInPandas(_sets, "rep long, shingle long, n long"), "shingles")
     shared = shingles.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
@@ -236,12 +255,14 @@ def _rare_pairs(texts: DataFrame, component: DataFrame, percent: int) -> DataFra
     rows = rows.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("rep", "shingle")
     rows = rows.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     rows = saved(rows, "rare")
+    discard(shingles)
     mixed = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("shingle", F.ceil(F.col("c") / (CELL // 2)).cast("int").alias("blocks"))
     samples = saved(texts.mapInPandas(_samples, "rep long, n long, sample binary"), "samples")
     rows = rows.join(mixed, "shingle").withColumn("block", F.when(F.col("blocks") <= 2, 0).otherwise(F.pmod(F.xxhash64("rep"), "blocks")).cast("int"))
     others = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    samples = samples.join(rows.groupBy("rep").agg(F.collect_list(F.shiftright("shingle", 32).cast("int")).alias("rare")), "rep")
     cells = rows.select("rep", "component", "shingle", "block", F.explode(others).alias("other")).join(samples, "rep")
-    cells = cells.select("rep", "component", "n", "sample", "shingle", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    cells = cells.select("rep", "component", "n", "sample", "rare", "shingle", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     cells = cells.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
     return cells.mapInPandas(_cells(percent), "a long, b long").distinct()
 
@@ -281,6 +302,7 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, percent
     keys = saved(keys, "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = saved(keys.join(shared, "key"), "buckets")
+    discard(keys)
     sigs = saved(reps.join(buckets.select("rep").distinct(), "rep"), "signatures")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), raw(text_col).alias("raw"))
     texts = saved(texts.join(sigs.select("rep"), "rep").dropDuplicates(["rep"]), "texts")

@@ -312,3 +312,24 @@ def test_pipeline(spark, tmp_path, texts):
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
     kept = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     assert 8 in kept and 11 not in kept and len(texts) - 1 not in kept
+
+
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """Texts around a common passage fill large buckets; cells of few rows find the links that all pairs of sets have."""
+    monkeypatch.setattr(near_dup, "CELL", 8)
+    rng = random.Random(5)
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join(passage + [f"w{i}x{j}" for j in range(rng.randrange(4, 40))]) for i in range(90)]
+    texts += [" ".join(texts[i].split()[: rng.randrange(58, 66)] + [f"v{i}"]) for i in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    component = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                lo, hi = sorted((component[a], component[b]))
+                component = {i: lo if c == hi else c for i, c in component.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (1, 2):
+        found = near_dup.near_duplicates(docs, star_rounds=rounds).collect()
+        assert {r.doc_id: r.component_id for r in found} == component
