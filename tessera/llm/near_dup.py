@@ -25,6 +25,8 @@ MOST_ERRORS = 2 * CHUNKS - 1
 STAR_ROUNDS = 2
 #: Buckets of at most so many rows are expanded at once in the end; rows of larger ones meet by their rare shingles.
 SMALL_BUCKET = 6
+#: Ids that are sent to all executors to choose texts; for more, texts meet them by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Rows compared at once; shingles of a set's sample; percent by which a sample's similarity may be too low (five standard deviations).
 CELL, SAMPLE, SAMPLE_SLACK = 1024, 256, 18
 
@@ -305,7 +307,10 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, percent
     discard(keys)
     sigs = saved(reps.join(buckets.select("rep").distinct(), "rep"), "signatures")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), raw(text_col).alias("raw"))
-    texts = saved(texts.join(sigs.select("rep"), "rep").dropDuplicates(["rep"]), "texts")
+    wanted = sigs.select("rep")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = saved(texts.join(wanted, "rep").dropDuplicates(["rep"]), "texts")
     links = tested = component = None
     for round_no in range(star_rounds + 1):
         rows = buckets
