@@ -15,6 +15,8 @@ WINDOW = 3
 MIN_LINES, MIN_WORDS = 3, 50
 #: Lines before and after a fingerprint that travel with it. Runs that reach further are extended by joins.
 CONTEXT = 8
+#: How many times as far each of those rounds reaches as the one before.
+GROWTH = 8
 
 _DIAGONAL = ["doc_id", "d0", "off"]
 
@@ -87,7 +89,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        aggregated before the shuffle and adaptive execution splits the join.
     2. A match lies on a diagonal (document, first document, distance of lines). It is extended both ways while the
        lines that travel with its fingerprints are equal; overlapping runs of a diagonal become one.
-    3. Ends where all of those lines were equal are extended by joins, in rounds that reach twice as far each time,
+    3. Ends where all of those lines were equal are extended by joins, in rounds that reach GROWTH times as far each time,
        until all ends are found.
     4. Runs of at least MIN_LINES lines or MIN_WORDS words are reported.
 
@@ -103,9 +105,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "doc_id", F.col("first.doc_id").alias("d0"), (F.col("p") - F.col("first.p")).alias("off"), (F.col("p") - F.col("down.k")).alias("lo"),
         (F.col("p") + F.col("up.k")).alias("hi"), F.col("down.open").alias("lo_open"), F.col("up.open").alias("hi_open"),
     )
-    runs, reach = saved(_merged(found), "runs"), CONTEXT
-    while not runs.where("lo_open or hi_open").isEmpty():
-        runs, reach = saved(_merged(_extended(runs, lines, reach)), "runs"), 2 * reach
+    runs, reach, near = saved(_merged(found), "runs"), CONTEXT, None
+    while not (ends := runs.where("lo_open or hi_open")).isEmpty():
+        if near is None:
+            # later rounds have no other documents
+            concerned = ends.select(F.explode(F.array("doc_id", "d0")).alias("doc_id")).distinct()
+            near = saved(lines.select("doc_id", "p", "h").join(concerned, "doc_id", "left_semi"), "near")
+        runs, reach = saved(_merged(_extended(runs, near, reach)), "runs"), GROWTH * reach
     places = runs.select(*_DIAGONAL, "lo", (F.col("hi") - F.col("lo") + 1).alias("lines"), F.explode(F.sequence("lo", "hi")).alias("p"))
     places = places.join(lines.select("doc_id", "p", "i", "n"), ["doc_id", "p"])
     long, short = places.where(F.col("lines") >= MIN_LINES), places.where(F.col("lines") < MIN_LINES)
