@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import hashing, similarity, text
 from tessera.operators import edges, fingerprints, graphs, matches, service
+from tessera.sources import library as exchange
+from tessera.sources import reports, tasks
+from tessera.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -765,3 +768,68 @@ def alert_states(spark, sf_dir):
 @query()
 def rate_limit(spark, sf_dir):
     return service.token_bucket(table(spark, sf_dir, "events").select("user_id", "ts", F.col("event_id").alias("seq")), "user_id", 0.0001, 3.0)
+
+
+# --- sources, reports and streams
+
+
+_STATUS = "i AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'M' WHEN 'purchase' THEN 'D' ELSE 'R100' END AS s, 'src/' || user_id || '.py' AS f FROM events)"
+
+
+@query(f"WITH {_STATUS} SELECT event_id, CASE s WHEN 'M' THEN 'modified' WHEN 'D' THEN 'deleted' ELSE 'added' END AS change, CASE WHEN s = 'R100' THEN 'old' || chr(9) || f ELSE f END AS path FROM i")
+def name_status(spark, sf_dir):
+    status = F.when(F.col("event_type") == "click", "A").when(F.col("event_type") == "view", "M").when(F.col("event_type") == "purchase", "D").otherwise("R100\told")
+    line = F.concat_ws("\t", status, F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.lit(".py")))
+    return table(spark, sf_dir, "events").select("event_id", tasks.name_status(line).alias("c")).select("event_id", "c.*")
+
+
+@query("SELECT url AS target, list_sort(list(page_id::VARCHAR)) AS candidates FROM pages WHERE url NOT LIKE '%,%' AND url NOT LIKE '%\"%' AND trim(url) <> '' AND url NOT LIKE '#%' GROUP BY url")
+def batch_tasks(spark, sf_dir):
+    url = F.col("url")
+    rows = table(spark, sf_dir, "pages").where(~url.contains(",") & ~url.contains('"')).groupBy("url").agg(F.array_sort(F.collect_list(F.col("page_id").cast("string"))).alias("c"))
+    return tasks.from_csv(rows.select(F.concat_ws(",", "url", F.array_join("c", ",")).alias("value")))
+
+
+def library_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    modules = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.col("source").alias("project_id"))
+    prints = fingerprints.fingerprints(docs.select(F.col("doc_id").alias("module_id"), "text"), text.words(F.col("text")), ["module_id"]).select(F.col("fp").alias("value"), F.lit("winnowing").alias("type"), "module_id")
+    return docs.select(F.col("source").alias("id")).distinct(), modules, prints
+
+
+@query(f"WITH {_FP}, per AS (SELECT id, list_sort(list(fp)) AS v FROM fp GROUP BY id) SELECT source AS project, count(*) AS modules, sum(coalesce(len(v), 0))::BIGINT AS fingerprints, min(doc_id) AS first_module FROM documents LEFT JOIN per ON id = doc_id WHERE source NOT IN (SELECT min(source) FROM documents) GROUP BY source")
+def library_import(spark, sf_dir):
+    """What an import of the exported library adds where its first project is there already."""
+    projects, modules, prints = library_tables(spark, sf_dir)
+    added = exchange.new_projects(exchange.nested(projects, modules, prints), projects.agg(F.min("id").alias("id")))
+    sizes = F.aggregate("modules", F.lit(0).cast("long"), lambda s, m: s + F.size(m["fingerprints"]))
+    return added.select(F.col("id").alias("project"), F.size("modules").cast("long").alias("modules"), sizes.alias("fingerprints"), F.col("modules")[0]["id"].alias("first_module"))
+
+
+_LEVEL = "CASE WHEN similarity >= 90 THEN 'error' WHEN similarity >= 80 THEN 'warning' ELSE 'note' END"
+
+
+@query(f"WITH {_MATCHES} SELECT a AS source, b AS target, {_LEVEL} AS level, 'MM001' AS rule, a::VARCHAR AS uri, b::VARCHAR AS related FROM m")
+def sarif_report(spark, sf_dir):
+    found = reports.sarif_results(document_matches(spark, sf_dir).select(F.col("a").alias("source"), F.col("b").alias("target"), "similarity"))
+    get = lambda path: F.get_json_object("result", path)
+    uri = "[0].physicalLocation.artifactLocation.uri"
+    return found.select("source", "target", get("$.level").alias("level"), get("$.ruleId").alias("rule"), get(f"$.locations{uri}").alias("uri"), get(f"$.relatedLocations{uri}").alias("related"))
+
+
+@query("SELECT user_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS event_type, max(struct_pack(t := ts, e := event_id)).e AS event_id FROM events GROUP BY user_id")
+def stream_progress(spark, sf_dir):
+    return streams.run_to_end(streams.latest(streams.stream_table(spark, f"{sf_dir}/events.parquet"), "user_id", ["ts", "event_id"], ["event_type", "event_id"]), "complete")
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS events, max(value) AS most FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf_dir):
+    rows = streams.stream_table(spark, f"{sf_dir}/events.parquet")
+    return streams.run_to_end(streams.windowed(rows, "ts", "1 day", ["event_type"], {"events": F.count("*"), "most": F.max("value")}), "complete")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_once(spark, sf_dir):
+    """The requests that arrive, each key once: no event is older than the watermark allows."""
+    rows = streams.stream_table(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("request", F.concat_ws(":", "user_id", "event_type"))
+    return streams.run_to_end(streams.once(rows, "ts", "request", "3650 days").select("user_id", "event_type"))
