@@ -44,11 +44,15 @@ def features(tokens: list[bytes], bits: int = BITS) -> np.ndarray:
 
 
 def fit(samples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, passes: int = PASSES) -> Model:
-    """FTRL-proximal with a rate for each coordinate. Features are present or not; those of a single document are left out; the intercept is not regularised."""
-    # a coordinate of one document only says nothing of others
-    seen = np.bincount(np.concatenate([*samples, np.zeros(0, dtype=np.int64)]).astype(np.int64), minlength=2**bits) > 1
-    samples = [x[seen[x]] for x in samples]
-    z, n = np.zeros(2**bits), np.zeros(2**bits)
+    """FTRL-proximal with a rate for each coordinate. A sample is its distinct coordinates; those of a single document are left out; the intercept is not regularised."""
+    # a coordinate of one document only says nothing of others; the rest are numbered anew, so that state is as large as they are
+    once, shared = np.zeros(2**bits, dtype=bool), np.zeros(2**bits, dtype=bool)
+    for x in samples:
+        shared[x] |= once[x]
+        once[x] = True
+    known = np.flatnonzero(shared)
+    samples = [np.searchsorted(known, x[shared[x]]).astype("<u4") for x in samples]
+    z, n = np.zeros(len(known)), np.zeros(len(known))
     zb = nb = 0.0
     positive = max(1, int(labels.sum()))
     order = np.random.default_rng(0).permutation(len(labels))
@@ -72,7 +76,7 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha:
             nb += g * g
     live = np.flatnonzero(np.abs(z) > l1)
     weight = (np.sign(z[live]) * l1 - z[live]) / ((beta + np.sqrt(n[live])) / alpha + l2)
-    return Model(live.astype(np.int64), weight, bias)
+    return Model(known[live].astype(np.int64), weight, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, bits: int = BITS) -> Model:
@@ -98,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
 
     rows = texts.mapInPandas(coordinates, "doc_id long, label int, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
-    return fit([np.frombuffer(r.x, dtype="<u4").astype(np.int64) for r in rows], np.asarray([r.label for r in rows], dtype=float), bits)
+    return fit([np.frombuffer(r.x, dtype="<u4") for r in rows], np.asarray([r.label for r in rows], dtype=float), bits)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
