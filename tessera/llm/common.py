@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,18 @@ def prepare_python(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_remembered: dict[tuple, object] = {}
+
+
+def remembered(operator: str, key: str, make: Callable[[], object]) -> object:
+    """What an operator keeps in a Python worker from task to task. Workers outlive operators, so what others kept goes."""
+    for other in [k for k in _remembered if k != (operator, key)]:
+        del _remembered[other]
+    if (operator, key) not in _remembered:
+        _remembered[operator, key] = make()
+    return _remembered[operator, key]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

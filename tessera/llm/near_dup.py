@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,24 +44,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; remembers a bounded number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= 400_000:
-            self.clear()
-        if len(word) <= 48:
-            self[word] = h
-        return h
-
-
-def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: bytes) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit hashes: of five words each, or of all words if they are fewer."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     n = max(1, len(h) - SHINGLE + 1)
     total = np.full(n, min(len(h), SHINGLE), dtype=np.uint64)
     for j in range(min(len(h), SHINGLE)):
@@ -94,11 +83,10 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
     for frame in batches:
         size, same, sig = [], [], []
         for text in frame["raw"]:
-            s = shingle_set(text, hashes)
+            s = shingle_set(text)
             size.append(len(s))
             same.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sig.append(signature(s) if len(s) else None)
@@ -129,14 +117,13 @@ def _errors(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def _confirm(percent: int):
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for frame in batches:
             sets: dict[int, np.ndarray] = {}
             good = []
             for a, b, x, y in zip(frame["a"], frame["b"], frame["raw_a"], frame["raw_b"], strict=True):
                 for i, t in ((a, x), (b, y)):
                     if i not in sets:
-                        sets[i] = shingle_set(t, hashes)
+                        sets[i] = shingle_set(t)
                 p, q = sets[a], sets[b]
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 good.append(100 * both >= percent * (len(p) + len(q) - both))
@@ -146,12 +133,11 @@ def _confirm(percent: int):
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
     for frame in batches:
         reps = frame["rep"].to_numpy(dtype="int64")
         for at in range(0, len(reps), 32):
             own = reps[at : at + 32]
-            sets = [shingle_set(t, hashes) for t in frame["raw"].iloc[at : at + 32]]
+            sets = [shingle_set(t) for t in frame["raw"].iloc[at : at + 32]]
             sizes = [len(s) for s in sets]
             yield pd.DataFrame({"rep": np.repeat(own, sizes), "shingle": np.concatenate(sets).view(np.int64), "n": np.repeat(sizes, sizes)})
 
@@ -163,9 +149,8 @@ def _level(n: int) -> int:
 
 def _samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The top halves of each set's shingles under its level's bound: the whole set if it is small."""
-    hashes = WordHashes()
     for frame in batches:
-        sets = [shingle_set(t, hashes) for t in frame["raw"]]
+        sets = [shingle_set(t) for t in frame["raw"]]
         tops = [(s >> np.uint64(32)).astype("<u4") for s in sets]
         yield pd.DataFrame({"rep": frame["rep"], "n": [len(s) for s in sets], "sample": [t[t < (1 << 32) >> _level(len(t))].tobytes() for t in tops]})
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import prepare_python, raw, saved
+from tessera.llm.common import prepare_python, raw, remembered, saved
 
 CAPACITY = 2048
 #: Distinct words whose ids a worker remembers, and the longest word that it remembers.
@@ -52,16 +52,11 @@ class _Ids(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_loaded: dict[str, _Ids] = {}
-
-
 def _pieces(path: str, capacity: int, end_id: int):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if path not in _loaded:
-            _loaded[path] = _Ids(path)
-        ids_of = _loaded[path].of
+        ids_of = remembered("packing", path, lambda: _Ids(path)).of
         for frame in batches:
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):

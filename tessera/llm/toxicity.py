@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare_python, raw, words
+from tessera.llm.common import prepare_python, raw, remembered, words
 
 #: Features are hashed to 2 ** BITS coordinates.
 BITS = 22
@@ -109,10 +110,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(doc_id, score) of whole texts, 0 to 1; null and empty texts have the score of the intercept. No shuffle."""
     spark = docs.sparkSession
     prepare_python(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(sent.value, bits)
+        scorer = remembered("toxicity", key, lambda: Scorer(sent.value, bits))
         for frame in batches:
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": [scorer(t) for t in frame["raw"]]})
 
@@ -138,11 +139,11 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str =
     """The documents whose score is under the threshold, with all their columns."""
     spark = docs.sparkSession
     prepare_python(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(sent.value, bits)
+        scorer = remembered("toxicity", key, lambda: Scorer(sent.value, bits))
         for texts in batches:
             yield pd.Series([scorer(t) for t in texts], dtype=float)
 
