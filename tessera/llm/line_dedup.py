@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import saved
 
-#: Lines of a window. Any repeated run of so many lines has a fingerprint in common with its first occurrence.
+#: Lines of a window.
 WINDOW = 3
 #: A repeated run goes if it has so many lines, or so many words.
 MIN_LINES, MIN_WORDS = 3, 50
@@ -92,6 +92,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     3. Ends where all of those lines were equal are extended by joins, in rounds that reach GROWTH times as far each time,
        until all ends are found.
     4. Runs of at least MIN_LINES lines or MIN_WORDS words are reported.
+    5. The first place of a fingerprint may have other neighbours than the run has, so windows of MIN_LINES lines also
+       meet the first place of the whole window: what stands in one that occurred before goes, whatever its fingerprints.
 
     Documents without an id take no part. Rows that share an id share their lines' places; of several first places
     with the same id and line the least surroundings count.
@@ -116,7 +118,20 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = places.join(lines.select("doc_id", "p", "i", "n"), ["doc_id", "p"])
     long, short = places.where(F.col("lines") >= MIN_LINES), places.where(F.col("lines") < MIN_LINES)
     wordy = short.withColumn("words", F.sum("n").over(Window.partitionBy(*_DIAGONAL, "lo"))).where(F.col("words") >= MIN_WORDS)
-    return long.select("doc_id", "i").unionByName(wordy.select("doc_id", "i")).distinct()
+    return long.select("doc_id", "i").unionByName(wordy.select("doc_id", "i")).unionByName(_repeated_windows(docs, id_col, text_col)).distinct()
+
+
+def _repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, i): lines of windows of MIN_LINES lines that occurred before."""
+    windows = lambda own: F.transform(
+        F.filter(F.transform(own, lambda s, p: F.slice(own, p + 1, MIN_LINES)), lambda w: F.size(w) == MIN_LINES),
+        lambda w: F.struct(F.xxhash64(F.transform(w, lambda s: s["h"])).alias("h"), F.transform(w, lambda s: s["i"]).alias("at")),
+    )
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(_let(_lines(F.col(text_col)), windows)).alias("w"))
+    seeds = saved(rows.select("doc_id", "w.*"), "windows")
+    firsts = seeds.groupBy("h").agg(F.min(F.struct("doc_id", F.get("at", F.lit(0)).alias("i"))).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    again = seeds.join(firsts, "h").where((F.col("doc_id") != F.col("first.doc_id")) | (F.get("at", F.lit(0)) != F.col("first.i")))
+    return again.select("doc_id", F.explode("at").alias("i"))
 
 
 def _merged(found: DataFrame) -> DataFrame:

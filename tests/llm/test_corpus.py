@@ -244,6 +244,40 @@ def test_line_dedup_long_runs(spark):
     assert [gone.get(d, set()) for d in range(len(docs))] == brute_line_dedup(docs)
 
 
+def every_repeated_run(docs: list[list[str]], min_lines: int = 3, min_words: int = 50) -> list[set[int]]:
+    """Places of removed lines, by comparing every two places line by line."""
+    places = [(d, p) for d, x in enumerate(docs) for p in range(len(x))]
+    at = lambda d, p: docs[d][p] if 0 <= p < len(docs[d]) else None
+    gone = [set() for _ in docs]
+    for d, p in places:
+        for e, q in places:
+            if (e, q) >= (d, p) or docs[d][p] != docs[e][q] or (p and q and at(d, p - 1) == at(e, q - 1)):
+                continue
+            k = 0
+            while at(d, p + k) is not None and at(d, p + k) == at(e, q + k):
+                k += 1
+            if k >= min_lines or sum(len(x.split()) for x in docs[d][p : p + k]) >= min_words:
+                gone[d] |= set(range(p, p + k))
+    return gone
+
+
+def gone_lines(spark, docs: list[list[str]]) -> list[set[int]]:
+    found = line_dedup.removed_by_document(documents(spark, ["\n".join(x) for x in docs])).collect()
+    gone = {r["__doc"]: set(r["__gone"]) for r in found}
+    return [gone.get(d, set()) for d in range(len(docs))]
+
+
+def test_line_dedup_earlier_places_elsewhere(spark):
+    """Lines of a repeated run that stand alone in earlier documents, whichever of them has the least hash."""
+    run = ["run one", "run two", "run three"]
+    docs = [[f"o{i}", x, f"e{i}"] for i, x in enumerate(run)] + [["b", *run, "c"], ["d", *run, "e"]]
+    assert every_repeated_run(docs)[4] == {1, 2, 3}
+    assert gone_lines(spark, docs) == every_repeated_run(docs)
+    rng = random.Random(5)
+    docs = [[f"line {rng.randrange(5)}" for _ in range(rng.randrange(9))] or [""] for _ in range(25)]
+    assert gone_lines(spark, docs) == [{p for p in x if docs[d][p]} for d, x in enumerate(every_repeated_run(docs))]
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "HTTP://Blog.Example.ORG/es/1?x#y", "http://example.org/en/12", "http://a.org", "https://x.com/de/a", "https://x.com/fr/a", "http://bad.net/1", "http://bad.net://2", "http://org/q"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
