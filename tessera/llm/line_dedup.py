@@ -1,24 +1,16 @@
-"""Repeated runs of lines: winnowing over line hashes, in DataFrame functions only."""
+"""Repeated runs of lines: hashes of whole windows of lines, in DataFrame functions only."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import saved
 
-#: Lines of a window.
-WINDOW = 3
 #: A repeated run goes if it has so many lines, or so many words.
 MIN_LINES, MIN_WORDS = 3, 50
-#: Lines before and after a fingerprint that travel with it. Runs that reach further are extended by joins.
-CONTEXT = 8
-#: How many times as far each of those rounds reaches as the one before.
-GROWTH = 8
-
-_DIAGONAL = ["doc_id", "d0", "off"]
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -38,129 +30,43 @@ def _lines(text: Column) -> Column:
     return F.transform(kept, lambda s: F.struct(s["i"].alias("i"), line_hash(s["x"]).alias("h"), F.size(F.split(s["x"], r"[\x20\x09-\x0D]+")).alias("n")))
 
 
-def _rows(lines: Column) -> Column:
-    """One struct for each line, see hashed_lines."""
-
-    def marked(own: Column, hashes: Column, least: Column) -> Column:
-        # line p lies in the windows that start at p - WINDOW + 1 to p
-        chosen = lambda p: F.exists(F.slice(least, F.greatest(p - WINDOW + 2, F.lit(1)), WINDOW), lambda m: m == p)
-        before = lambda p: F.reverse(F.slice(hashes, F.greatest(p - CONTEXT, F.lit(0)) + 1, F.least(p, F.lit(CONTEXT))))
-
-        def row(s: Column, p: Column) -> Column:
-            around = F.struct(before(p).alias("before"), F.slice(hashes, p + 2, CONTEXT).alias("after"))
-            return F.struct(p.alias("p"), s["i"].alias("i"), s["h"].alias("h"), s["n"].alias("n"), F.when(chosen(p) | (s["n"] >= MIN_WORDS), around).alias("around"))
-
-        return F.transform(own, row)
+def _windows(lines: Column) -> Column:
+    """One struct (h: hash, at: places of its lines) for each window, see windows."""
 
-    def least(own: Column) -> Column:
-        """Window minima, the last of equal ones; none if there are no lines."""
-        order = F.transform(own, lambda s, p: F.struct(s["h"].alias("h"), (-p).alias("q")))
-        starts = F.sequence(F.lit(0), F.greatest(F.size(own) - WINDOW, F.lit(0)))
-        return _let(order, lambda o: F.transform(starts, lambda s: -F.array_min(F.slice(o, s + 1, WINDOW))["q"]))
+    def of(size: int) -> Column:
+        each = F.filter(F.transform(lines, lambda s, p: F.slice(lines, p + 1, size)), lambda w: F.size(w) == size)
+        if size < MIN_LINES:
+            each = F.filter(each, lambda w: F.aggregate(w, F.lit(0), lambda n, s: n + s["n"]) >= MIN_WORDS)
+        # hashes of arrays of different sizes differ
+        return F.transform(each, lambda w: F.struct(F.xxhash64(F.transform(w, lambda s: s["h"])).alias("h"), F.transform(w, lambda s: s["i"]).alias("at")))
 
-    return _let(lines, lambda own: _let(F.transform(own, lambda s: s["h"]), lambda hashes: _let(least(own), lambda m: marked(own, hashes, m))))
+    return F.concat(*[of(size) for size in range(1, MIN_LINES + 1)])
 
 
-def hashed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, p, i, h, n, around): line p (from 0, blank ones not counted) of each document.
+def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, at): all windows of MIN_LINES lines of each document, and those of fewer lines that have MIN_WORDS words.
 
-    `around` is null but for fingerprints, which carry the hashes of up to CONTEXT lines before (nearest first) and
-    after them. Window minima are fingerprints, the last of equal ones; so is a line with MIN_WORDS words, which is a
-    run by itself. A document with fewer lines than a window is one window.
+    Blank lines aren't counted. Any repeated run that is long enough to go is a union of such windows, all repeated.
     """
-    own = docs.where(F.col(id_col).isNotNull())
-    # outer, as the plan would compute the lines a second time to filter documents without any
-    rows = own.select(F.col(id_col).cast("long").alias("doc_id"), F.explode_outer(_rows(_lines(F.col(text_col)))).alias("l"))
-    return rows.where("l is not null").select("doc_id", "l.*")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(_let(_lines(F.col(text_col)), _windows)).alias("w"))
+    return rows.select("doc_id", "w.*")
 
 
-def _same(a: Column, b: Column) -> Column:
-    """How many hashes two arrays have in common from their beginnings, and whether that is CONTEXT, so there may be more."""
-    differs = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False)).cast("int")
-    same = F.when(differs == 0, F.size(a)).otherwise(differs - 1)
-    return F.struct(same.alias("k"), (same == CONTEXT).alias("open"))
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, i): lines of runs of at least MIN_LINES lines or MIN_WORDS words that occurred before, at a lesser id or line.
 
+    A window's lines go if the first place (least id, then line) of the whole window is another one. Only that place is
+    joined, never two later ones, so a window that a third of all documents have costs a row for each of them; the first
+    places are aggregated before the shuffle. As whole windows are compared, neighbours of a first place don't matter,
+    and runs need not be followed any further.
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, i): lines of repeated runs that are not the run's first occurrence.
-
-    1. Fingerprints meet the first place (least id, then line) that has the same one. Only that place is joined, never
-       two later ones, so a line that a third of all documents have costs a row for each of them; the first places are
-       aggregated before the shuffle and adaptive execution splits the join.
-    2. A match lies on a diagonal (document, first document, distance of lines). It is extended both ways while the
-       lines that travel with its fingerprints are equal; overlapping runs of a diagonal become one.
-    3. Ends where all of those lines were equal are extended by joins, in rounds that reach GROWTH times as far each time,
-       until all ends are found.
-    4. Runs of at least MIN_LINES lines or MIN_WORDS words are reported.
-    5. The first place of a fingerprint may have other neighbours than the run has, so windows of MIN_LINES lines also
-       meet the first place of the whole window: what stands in one that occurred before goes, whatever its fingerprints.
-
-    Documents without an id take no part. Rows that share an id share their lines' places; of several first places
-    with the same id and line the least surroundings count.
-    """
-    lines = saved(hashed_lines(docs, id_col, text_col), "lines")
-    seeds = lines.where("around is not null").select("doc_id", "p", "h", "around")
-    firsts = seeds.groupBy("h").agg(F.min(F.struct("doc_id", "p", "around")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    found = seeds.join(firsts, "h").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("p") != F.col("first.p")))
-    found = found.withColumn("down", _same(F.col("around.before"), F.col("first.around.before"))).withColumn("up", _same(F.col("around.after"), F.col("first.around.after")))
-    found = found.select(
-        "doc_id", F.col("first.doc_id").alias("d0"), (F.col("p") - F.col("first.p")).alias("off"), (F.col("p") - F.col("down.k")).alias("lo"),
-        (F.col("p") + F.col("up.k")).alias("hi"), F.col("down.open").alias("lo_open"), F.col("up.open").alias("hi_open"),
-    )
-    runs, reach, near = saved(_merged(found), "runs"), CONTEXT, None
-    while not (ends := runs.where("lo_open or hi_open")).isEmpty():
-        if near is None:
-            # later rounds have no other documents
-            concerned = ends.select(F.explode(F.array("doc_id", "d0")).alias("doc_id")).distinct()
-            near = saved(lines.select("doc_id", "p", "h").join(concerned, "doc_id", "left_semi"), "near")
-        runs, reach = saved(_merged(_extended(runs, near, reach)), "runs"), GROWTH * reach
-    places = runs.select(*_DIAGONAL, "lo", (F.col("hi") - F.col("lo") + 1).alias("lines"), F.explode(F.sequence("lo", "hi")).alias("p"))
-    places = places.join(lines.select("doc_id", "p", "i", "n"), ["doc_id", "p"])
-    long, short = places.where(F.col("lines") >= MIN_LINES), places.where(F.col("lines") < MIN_LINES)
-    wordy = short.withColumn("words", F.sum("n").over(Window.partitionBy(*_DIAGONAL, "lo"))).where(F.col("words") >= MIN_WORDS)
-    return long.select("doc_id", "i").unionByName(wordy.select("doc_id", "i")).unionByName(_repeated_windows(docs, id_col, text_col)).distinct()
-
-
-def _repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, i): lines of windows of MIN_LINES lines that occurred before."""
-    windows = lambda own: F.transform(
-        F.filter(F.transform(own, lambda s, p: F.slice(own, p + 1, MIN_LINES)), lambda w: F.size(w) == MIN_LINES),
-        lambda w: F.struct(F.xxhash64(F.transform(w, lambda s: s["h"])).alias("h"), F.transform(w, lambda s: s["i"]).alias("at")),
-    )
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(_let(_lines(F.col(text_col)), windows)).alias("w"))
-    seeds = saved(rows.select("doc_id", "w.*"), "windows")
-    firsts = seeds.groupBy("h").agg(F.min(F.struct("doc_id", F.get("at", F.lit(0)).alias("i"))).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    again = seeds.join(firsts, "h").where((F.col("doc_id") != F.col("first.doc_id")) | (F.get("at", F.lit(0)) != F.col("first.i")))
-    return again.select("doc_id", F.explode("at").alias("i"))
-
-
-def _merged(found: DataFrame) -> DataFrame:
-    """Runs (lo to hi, with a flag for each end that may not be the last) out of those that touch or overlap on a diagonal.
-
-    Of runs that end at the same line, one that is known to end there decides. A diagonal has a document's lines at most.
+    Documents without an id take no part. Rows that share an id share their lines' places.
     """
-    along = Window.partitionBy(*_DIAGONAL).orderBy("lo", "hi")
-    reached = F.max("hi").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    begun = found.withColumn("begins", F.when(F.col("lo") <= reached + 1, 0).otherwise(1)).withColumn("run", F.sum("begins").over(along))
-    ends = begun.groupBy(*_DIAGONAL, "run").agg(F.min(F.struct("lo", "lo_open")).alias("a"), F.max(F.struct("hi", (~F.col("hi_open")).alias("shut"))).alias("b"))
-    return ends.select(*_DIAGONAL, "a.lo", "b.hi", "a.lo_open", (~F.col("b.shut")).alias("hi_open"))
-
-
-def _extended(runs: DataFrame, lines: DataFrame, reach: int) -> DataFrame:
-    """The runs with their open ends moved over up to `reach` more lines that are equal; open still if all were."""
-    here = lines.select("doc_id", "p", F.col("h").alias("h1"))
-    there = lines.select(F.col("doc_id").alias("d0"), F.col("p").alias("q"), F.col("h").alias("h2"))
-    run, steps = [*_DIAGONAL, "lo", "hi"], F.sequence(F.lit(1), F.lit(reach))
-    ways = F.array_compact(F.array(F.when(F.col("lo_open"), F.lit(-1)), F.when(F.col("hi_open"), F.lit(1))))
-    ahead = runs.where("lo_open or hi_open").select(*run, F.explode(ways).alias("way")).select(*run, "way", F.explode(steps).alias("step"))
-    ahead = ahead.withColumn("p", F.when(F.col("way") < 0, F.col("lo") - F.col("step")).otherwise(F.col("hi") + F.col("step"))).withColumn("q", F.col("p") - F.col("off"))
-    equal = ahead.where("p >= 0 and q >= 0").join(here, ["doc_id", "p"]).join(there, ["d0", "q"]).where("h1 = h2")
-    reached = equal.groupBy(*run, "way").agg(F.array_sort(F.collect_set("step")).alias("steps"))
-    # steps without a gap from 1 on
-    reached = reached.select(*run, "way", F.size(F.filter("steps", lambda s, i: s == i + 1)).alias("k"))
-    moved = reached.groupBy(*run).agg(F.max(F.when(F.col("way") < 0, F.col("k"))).alias("down"), F.max(F.when(F.col("way") > 0, F.col("k"))).alias("up"))
-    down, up = F.coalesce("down", F.lit(0)), F.coalesce("up", F.lit(0))
-    return runs.join(moved, run, "left").select(*_DIAGONAL, (F.col("lo") - down).alias("lo"), (F.col("hi") + up).alias("hi"), (down == reach).alias("lo_open"), (up == reach).alias("hi_open"))
+    seeds = saved(windows(docs, id_col, text_col), "windows")
+    place = F.struct("doc_id", F.get("at", F.lit(0)).alias("i"))
+    firsts = seeds.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    again = seeds.join(firsts, "h").where(place != F.col("first"))
+    return again.select("doc_id", F.explode("at").alias("i")).distinct()
 
 
 def removed_by_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -278,6 +278,16 @@ def test_line_dedup_earlier_places_elsewhere(spark):
     assert gone_lines(spark, docs) == [{p for p in x if docs[d][p]} for d, x in enumerate(every_repeated_run(docs))]
 
 
+def test_line_dedup_wordy_pairs(spark):
+    """Repeated passages of two lines and 50 words, with any neighbours; 49 words stay."""
+    rng = random.Random(6)
+    for first, second in ((4, 47), (43, 49), (25, 25), (24, 25), (1, 49)):
+        pair = [prose(rng, first), prose(rng, second)]
+        docs = [[*[f"a{i} {rng.random()}" for i in range(2)], *pair, f"b {rng.random()}"] for _ in range(6)]
+        assert every_repeated_run(docs)[1:] == [{2, 3} if first + second >= 50 else set()] * 5
+        assert gone_lines(spark, docs) == every_repeated_run(docs)
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "HTTP://Blog.Example.ORG/es/1?x#y", "http://example.org/en/12", "http://a.org", "https://x.com/de/a", "https://x.com/fr/a", "http://bad.net/1", "http://bad.net://2", "http://org/q"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
