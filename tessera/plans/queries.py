@@ -74,8 +74,8 @@ def tokenize_words(spark, sf_dir):
     FROM (SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(substr(text, 1, 200), '[^A-Za-z0-9 .,]', '', 'g'), '[A-Za-z_][A-Za-z0-9_]*|[0-9][0-9.]*|[^ ]'),
           lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN 'NUM' WHEN t IN ('False','None','True','and','as','assert','async','await','break','class','continue','def','del','elif','else','except','finally','for','from','global','if','import','in','is','lambda','nonlocal','not','or','pass','raise','return','try','while','with','yield') THEN t WHEN regexp_matches(t, '^[A-Za-z_]') THEN 'ID' ELSE t END) AS k FROM documents)""")
 def code_tokens(spark, sf_dir):
-    head = F.regexp_replace(F.substring("text", 1, 200), "[^A-Za-z0-9 .,]", "")
-    t = modules(spark, sf_dir).select("id", text.code_tokens(head).alias("k"))
+    """Of whole texts as they are. The SQL sees the first 200 characters only, without strings, comments and operators, so it differs."""
+    t = modules(spark, sf_dir).select("id", text.code_tokens(F.col("text")).alias("k"))
     count = lambda *w: F.size(F.filter("k", lambda x: x.isin(*w))).cast("long")
     return t.select("id", count("NUM").alias("numbers"), count("ID").alias("names"), count("and", "in", "is", "for", "or", "not", "with").alias("keywords"), F.size("k").cast("long").alias("n"))
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import hashing, similarity, text
 from tessera.operators import edges, fingerprints, graphs, matches, service
+from tessera.plans import queries
 
 
 def stable(x: str) -> int:
@@ -53,6 +55,50 @@ def test_code_tokens(spark):
     assert java == ["int", "ID", "=", "NUM", ";", "ID", "(", ")", ";"]
 
 
+def scanned(code: str) -> list[str]:
+    """Tokens of Python code, one character after the other."""
+    out, i = [], 0
+    while i < len(code):
+        c, two, three = code[i], code[i : i + 2], code[i : i + 3]
+        j = i + 1
+        if c in " \t\n\v\f\r":
+            pass
+        elif c == "#":
+            while j < len(code) and code[j] != "\n":
+                j += 1
+        elif three in ('"""', "'''"):
+            j = code.index(three, i + 3) + 3
+        elif c in "\"'":
+            while j < len(code) and code[j] != c:
+                j += 2 if code[j] == "\\" else 1
+            j += 1
+            out.append("STR")
+        elif c.isascii() and (c.isalpha() or c == "_"):
+            while j < len(code) and code[j].isascii() and (code[j].isalnum() or code[j] == "_"):
+                j += 1
+            out.append(code[i:j] if code[i:j] in text.KEYWORDS["python"] else "ID")
+        elif c in "0123456789":
+            while j < len(code) and code[j] in "0123456789.":
+                j += 1
+            out.append("NUM")
+        else:
+            j += two in "== != <= >= += -= *= /= // ** -> => << >> && || ++ -- ?? ?.".split()
+            out.append(code[i:j])
+        i = j
+    return out
+
+
+def test_code_tokens_of_whole_texts(spark, tmp_path):
+    rng = random.Random(3)
+    bits = ["x", " in ", "and", " not ", "7.5", "== ", "!=", "**", "<", "=", "# é \"\n", "\"a 'b\\\" # c\"", "'\\''", '\n"""d\n\'"""\n', "\n", "\t", ".", "é", "(", "😀", " for ", "_y1 "]
+    codes = ["", "x" * 199 + " and 5", "it's " * 30_001, 'f("a b") # c\ng(1)\n', *["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(n)) + "\n" for n in (5, 60, 400, 3_000) for _ in range(5)]]
+    spark.createDataFrame([(i, c, "en", "s") for i, c in enumerate(codes)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: (r.numbers, r.names, r.keywords, r.n) for r in queries.code_tokens(spark, str(tmp_path)).collect()}
+    for i, c in enumerate(codes):
+        k = scanned(c)
+        assert got[i] == (k.count("NUM"), k.count("ID"), sum(t in ("and", "in", "is", "for", "or", "not", "with") for t in k), len(k)), c[:300]
+
+
 def test_measures(spark):
     row = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>").select(
         similarity.cosine(F.col("a"), F.col("a")).alias("same"), similarity.cosine(F.col("a"), F.col("z")).alias("zero"), similarity.euclidean(F.col("a"), F.col("b")).alias("d"),
