@@ -341,13 +341,15 @@ def label_statistics(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
 
 
+#: For 64 bands of 2 rows. The SQL has the first 32 only, in 16 bands, so it finds fewer pairs and its estimates are coarser.
+PERMUTATIONS = hashing.permutations(128)
 _PERMS = hashing.permutations(32)
 _SIG = f"{_FP}, sets AS (SELECT id, list(fp) AS f FROM fp GROUP BY id), sig AS (SELECT id, list_transform([{', '.join(f'{{a: {a}::BIGINT, b: {b}::BIGINT}}' for a, b in _PERMS)}], lambda p: list_min(list_transform(f, lambda x: (p.a * x + p.b) % 2147483647))) AS s FROM sets)"
 
 
 @query(f"WITH {_SIG} SELECT id, array_to_string(s, '-') AS signature FROM sig")
 def minhash_signatures(spark, sf_dir):
-    sigs = fingerprints.signatures(module_fingerprints(spark, sf_dir), _PERMS)
+    sigs = fingerprints.signatures(module_fingerprints(spark, sf_dir), PERMUTATIONS)
     return sigs.select("id", F.array_join(F.transform("sig", lambda x: x.cast("string")), "-").alias("signature"))
 
 
@@ -355,7 +357,7 @@ _CAND = f"{_SIG}, bands AS (SELECT id, unnest(range(16)) AS band, unnest(list_tr
 
 
 def lsh_candidates(spark, sf_dir) -> DataFrame:
-    return fingerprints.banded_candidates(fingerprints.signatures(module_fingerprints(spark, sf_dir), _PERMS), 2)
+    return fingerprints.banded_candidates(fingerprints.signatures(module_fingerprints(spark, sf_dir), PERMUTATIONS), 2)
 
 
 @query(f"WITH {_CAND} SELECT a, b, round(estimate, 6) AS estimate FROM est WHERE estimate >= 0.1")

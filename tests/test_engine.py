@@ -99,6 +99,21 @@ def test_code_tokens_of_whole_texts(spark, tmp_path):
         assert got[i] == (k.count("NUM"), k.count("ID"), sum(t in ("and", "in", "is", "for", "or", "not", "with") for t in k), len(k)), c[:300]
 
 
+def test_minhash_finds_what_64_bands_promise(spark, tmp_path):
+    """Pairs with about a sixth of their fingerprints in common, against exact sets."""
+    rng = random.Random(9)
+    word = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    shared = [word(60) for _ in range(150)]
+    rows = [(2 * i + j, " ".join(x + word(110)), "en", "s") for i, x in enumerate(shared) for j in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: brute_fingerprints(t.split(), 15, 5) for i, t, _, _ in rows}
+    share = {(2 * i, 2 * i + 1): len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(150)}
+    found = {(r.a, r.b): r.estimate for r in queries.lsh_candidates(spark, str(tmp_path)).collect()}
+    assert len(found.keys() & share.keys()) >= 0.9 * sum(1 - (1 - s * s) ** 64 for s in share.values())
+    assert all((e * 128).is_integer() for e in found.values()) and not all((e * 32).is_integer() for e in found.values())
+    assert {len(r.signature.split("-")) for r in queries.minhash_signatures(spark, str(tmp_path)).collect()} == {128}
+
+
 def test_measures(spark):
     row = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>").select(
         similarity.cosine(F.col("a"), F.col("a")).alias("same"), similarity.cosine(F.col("a"), F.col("z")).alias("zero"), similarity.euclidean(F.col("a"), F.col("b")).alias("d"),
