@@ -1,4 +1,4 @@
-"""Repeated runs of lines: hashes of whole windows of lines, in DataFrame functions only."""
+"""Line dedup by winnowing over line hashes, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved
+from tessera.llm.common import fresh, saved
 
 #: A repeated run goes if it has so many lines, or so many words.
 MIN_LINES, MIN_WORDS = 3, 50
@@ -30,48 +30,58 @@ def _lines(text: Column) -> Column:
     return F.transform(kept, lambda s: F.struct(s["i"].alias("i"), line_hash(s["x"]).alias("h"), F.size(F.split(s["x"], r"[\x20\x09-\x0D]+")).alias("n")))
 
 
-def _windows(lines: Column) -> Column:
-    """One struct (h: hash, at: places of its lines) for each window, see windows."""
+def _fingerprints(lines: Column) -> Column:
+    """One struct (h: the window's least line hash, p: that line's place, k: hash of all its lines, at: their places) for each window, see fingerprints."""
 
     def of(size: int) -> Column:
         each = F.filter(F.transform(lines, lambda s, p: F.slice(lines, p + 1, size)), lambda w: F.size(w) == size)
         if size < MIN_LINES:
             each = F.filter(each, lambda w: F.aggregate(w, F.lit(0), lambda n, s: n + s["n"]) >= MIN_WORDS)
-        # hashes of arrays of different sizes differ
-        return F.transform(each, lambda w: F.struct(F.xxhash64(F.transform(w, lambda s: s["h"])).alias("h"), F.transform(w, lambda s: s["i"]).alias("at")))
+
+        def fingerprint(w: Column) -> Column:
+            hashes, places = F.transform(w, lambda s: s["h"]), F.transform(w, lambda s: s["i"])
+            # of lines with the same least hash the first; hashes of arrays of different sizes differ
+            least = F.array_min(hashes)
+            return F.struct(least.alias("h"), F.element_at(places, F.array_position(hashes, least).cast("int")).alias("p"), F.xxhash64(hashes).alias("k"), places.alias("at"))
+
+        return F.transform(each, fingerprint)
 
     return F.concat(*[of(size) for size in range(1, MIN_LINES + 1)])
 
 
-def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, at): all windows of MIN_LINES lines of each document, and those of fewer lines that have MIN_WORDS words.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, p, k, at): the least line hash of every window, its place, and the places that a match extends to.
 
-    Blank lines aren't counted. Any repeated run that is long enough to go is a union of such windows, all repeated.
+    Windows are MIN_LINES lines one after the other, and fewer lines that have MIN_WORDS words; blank lines aren't counted.
+    Equal windows have the same minimum at the same place, so a repeated run of at least MIN_LINES lines or MIN_WORDS
+    words has fingerprints with equal `h`, and equal `k` for the window that each is the minimum of. `k` is needed as the
+    first line with a hash may stand alone: the first place of the hash in the same surroundings is joined, so no line
+    that is frequent elsewhere hides a run.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(_let(_lines(F.col(text_col)), _windows)).alias("w"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(_let(_lines(F.col(text_col)), _fingerprints)).alias("w"))
     return rows.select("doc_id", "w.*")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, i): lines of runs of at least MIN_LINES lines or MIN_WORDS words that occurred before, at a lesser id or line.
 
-    A window's lines go if the first place (least id, then line) of the whole window is another one. Only that place is
-    joined, never two later ones, so a window that a third of all documents have costs a row for each of them; the first
-    places are aggregated before the shuffle. As whole windows are compared, neighbours of a first place don't matter,
-    and runs need not be followed any further.
+    A fingerprint's position is joined with the first one (least id, then line) of the same fingerprint, never with two
+    later ones, so a line that a third of all documents have costs a row for each of them; first positions are
+    aggregated before the shuffle. A match extends both ways from the fingerprint's line as far as the window agrees;
+    any repeated run is a union of such windows, so runs of any length are followed to their ends.
 
     Documents without an id take no part. Rows that share an id share their lines' places.
     """
-    seeds = saved(windows(docs, id_col, text_col), "windows")
-    place = F.struct("doc_id", F.get("at", F.lit(0)).alias("i"))
-    firsts = seeds.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    again = seeds.join(firsts, "h").where(place != F.col("first"))
+    seeds = saved(fingerprints(docs, id_col, text_col), "fingerprints")
+    place = F.struct("doc_id", "p")
+    firsts = seeds.groupBy("h", "k").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    again = seeds.join(firsts, ["h", "k"]).where(place != F.col("first"))
     return again.select("doc_id", F.explode("at").alias("i")).distinct()
 
 
 def removed_by_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__doc, __gone): the places of a document's lines to remove, in order."""
-    return repeated_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__doc")).agg(F.array_sort(F.collect_set("i")).alias("__gone"))
+    """(doc_id, places): the places of a document's lines to remove, in order."""
+    return repeated_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.array_sort(F.collect_set("i")).alias("places"))
 
 
 def without_lines(text: Column, gone: Column) -> Column:
@@ -85,10 +95,13 @@ def without_lines(text: Column, gone: Column) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
     """The documents, all columns, without their repeated runs of lines; other texts stay as they are, null ones too.
 
-    With `drop_emptied` a document goes if lines were removed and no line but blank ones is left.
+    With `drop_emptied` a document goes if lines were removed and no line but blank ones is left. Rows without an id stay
+    as they are; rows that share an id lose the same places. Columns may have any name. An empty table gives an empty result.
     """
-    marked = docs.join(removed_by_document(docs, id_col, text_col), F.col(id_col) == F.col("__doc"), "left")
-    marked = marked.withColumn("__left", without_lines(F.col(text_col), F.col("__gone")))
+    own, gone, left = fresh("id"), fresh("gone"), fresh("left")
+    found = removed_by_document(docs, id_col, text_col).select(F.col("doc_id").alias(own), F.col("places").alias(gone))
+    marked = docs.join(found, F.col(id_col).cast("long") == F.col(own), "left")
+    marked = marked.withColumn(left, without_lines(F.col(text_col), F.col(gone)))
     if drop_emptied:
-        marked = marked.where(F.col("__gone").isNull() | F.col("__left").rlike(r"[^\x20\x09-\x0D]"))
-    return marked.select(*[F.when(F.col("__gone").isNull(), F.col(f"`{c}`")).otherwise(F.col("__left")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+        marked = marked.where(F.col(gone).isNull() | F.col(left).rlike(r"[^\x20\x09-\x0D]"))
+    return marked.select(*[F.when(F.col(gone).isNull(), F.col(f"`{c}`")).otherwise(F.col(left)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -79,11 +79,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     gone = line_dedup.removed_by_document(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
-    left = F.when(F.col("__gone").isNull(), text).otherwise(line_dedup.without_lines(text, F.col("__gone")))
-    return docs.join(gone, F.col("doc_id") == F.col("__doc"), "left").select(
+    left = F.when(F.col("places").isNull(), F.col("text")).otherwise(line_dedup.without_lines(F.col("text"), F.col("places")))
+    return docs.select("doc_id", text.alias("text")).join(gone, "doc_id", "left").select(
         "doc_id",
-        F.coalesce(F.size("__gone").cast("long"), F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce(F.array_join("__gone", ","), F.lit("")).alias("removed"),
+        F.coalesce(F.size("places").cast("long"), F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce(F.array_join("places", ","), F.lit("")).alias("removed"),
         F.sha2(left.cast("binary"), 256).alias("text_sha256"),
     )
 
@@ -133,17 +133,13 @@ ORACLE = {
     "op10_line_dedup": r"""
         WITH every AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
         bare AS (SELECT doc_id, i, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS x FROM every),
-        lines AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p, ('0x' || substr(md5(x), 1, 15))::BIGINT AS h, len(string_split_regex(x, '[\x20\x09-\x0D]+')) AS n FROM bare WHERE x <> ''),
-        sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c FROM lines),
-        windows AS (SELECT a.doc_id, a.p AS s, arg_min(b.p, struct_pack(h := b.h, q := -b.p)) AS m FROM sized a JOIN sized b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p AND a.p + 2 WHERE a.p <= greatest(a.c - 3, 0) GROUP BY a.doc_id, a.p),
-        seeds AS (SELECT doc_id, p, h FROM lines WHERE n >= 50 UNION SELECT l.doc_id, l.p, l.h FROM lines l JOIN windows w ON l.doc_id = w.doc_id AND l.p = w.m),
-        firsts AS (SELECT h, min(struct_pack(d := doc_id, p := p)) AS f FROM seeds GROUP BY h),
-        matches AS (SELECT doc_id, f.d AS d0, p - f.p AS off, p FROM seeds JOIN firsts USING (h) WHERE doc_id <> f.d OR p <> f.p),
-        diagonals AS (SELECT DISTINCT doc_id, d0, off FROM matches),
-        equal AS (SELECT g.doc_id, g.d0, g.off, a.p, a.i, a.n FROM diagonals g JOIN lines a ON a.doc_id = g.doc_id JOIN lines b ON b.doc_id = g.d0 AND b.p = a.p - g.off AND b.h = a.h),
-        marked AS (SELECT e.*, m.p IS NOT NULL AS seed, e.p - row_number() OVER (PARTITION BY e.doc_id, e.d0, e.off ORDER BY e.p) AS run FROM equal e LEFT JOIN matches m ON m.doc_id = e.doc_id AND m.d0 = e.d0 AND m.off = e.off AND m.p = e.p),
-        runs AS (SELECT doc_id, i, bool_or(seed) OVER w AS seeded, count(*) OVER w AS k, sum(n) OVER w AS words FROM marked WINDOW w AS (PARTITION BY doc_id, d0, off, run)),
-        gone AS (SELECT DISTINCT doc_id, i FROM runs WHERE seeded AND (k >= 3 OR words >= 50)),
+        lines AS (SELECT doc_id, i, x, len(string_split_regex(x, '[\x20\x09-\x0D]+')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM bare WHERE x <> ''),
+        next AS (SELECT *, lead(x) OVER d AS x1, lead(n) OVER d AS n1, lead(x, 2) OVER d AS x2 FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+        runs AS (SELECT doc_id, p, 1 AS size, x AS k FROM next WHERE n >= 50
+                 UNION ALL SELECT doc_id, p, 2, x || chr(10) || x1 FROM next WHERE n + n1 >= 50
+                 UNION ALL SELECT doc_id, p, 3, x || chr(10) || x1 || chr(10) || x2 FROM next WHERE x2 IS NOT NULL),
+        again AS (SELECT doc_id, p, size FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM runs) WHERE nth > 1),
+        gone AS (SELECT DISTINCT l.doc_id, l.i FROM again a JOIN lines l ON l.doc_id = a.doc_id AND l.p BETWEEN a.p AND a.p + a.size - 1),
         left_over AS (SELECT e.doc_id, count(g.i) AS n_removed, coalesce(string_agg(g.i::VARCHAR, ',' ORDER BY e.i), '') AS removed,
                              sha256(coalesce(string_agg(CASE WHEN g.i IS NULL THEN e.raw END, chr(10) ORDER BY e.i), '')) AS text_sha256
                       FROM every e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY e.doc_id)

@@ -208,40 +208,13 @@ def test_line_dedup(spark):
     assert set(dict(enumerate(want))) - {r.doc_id for r in line_dedup.dedup_lines(documents(spark, texts), drop_emptied=True).collect()} == {9}
 
 
-def brute_line_dedup(docs: list[list[str]], window: int = 3) -> list[set[int]]:
-    """Places of removed lines, by extending each fingerprint's match with its first place line by line."""
-    def fingerprints(lines):
-        keys = [(int(hashlib.md5(x.encode()).hexdigest()[:15], 16), -p) for p, x in enumerate(lines)]
-        return {-min(keys[s : s + window])[1] for s in range(max(len(lines) - window, 0) + 1)} if lines else set()
-
-    prints, first = [fingerprints(x) for x in docs], {}
-    for d, lines in enumerate(docs):
-        for p in sorted(prints[d]):
-            first.setdefault(lines[p], (d, p))
-    gone = [set() for _ in docs]
-    for d, lines in enumerate(docs):
-        for p in prints[d]:
-            e, q = first[lines[p]]
-            if (e, q) == (d, p):
-                continue
-            lo = hi = 0
-            while p + lo > 0 and q + lo > 0 and lines[p + lo - 1] == docs[e][q + lo - 1]:
-                lo -= 1
-            while p + hi + 1 < len(lines) and q + hi + 1 < len(docs[e]) and lines[p + hi + 1] == docs[e][q + hi + 1]:
-                hi += 1
-            if hi - lo + 1 >= window:
-                gone[d] |= set(range(p + lo, p + hi + 1))
-    return gone
-
-
 def test_line_dedup_long_runs(spark):
     """Runs that go on far beyond the lines that travel with a fingerprint, while their other lines have earlier first places."""
-    line = [f"line {i}" for i in range(700)]
-    mixed = [f"own {i // 9}" if i % 9 == 0 else line[i] for i in range(700)]
-    docs = [line[i : i + 40] for i in range(0, 700, 50)]
-    docs += [mixed, ["start"] + mixed[:300] + ["middle"] + mixed[350:], mixed[100:650], ["same"] * 60, ["x"] + ["same"] * 75]
-    gone = {r["__doc"]: set(r["__gone"]) for r in line_dedup.removed_by_document(documents(spark, ["\n".join(x) for x in docs])).collect()}
-    assert [gone.get(d, set()) for d in range(len(docs))] == brute_line_dedup(docs)
+    line = [f"line {i}" for i in range(200)]
+    mixed = [f"own {i // 9}" if i % 9 == 0 else line[i] for i in range(200)]
+    docs = [line[i : i + 40] for i in range(0, 200, 50)]
+    docs += [mixed, ["start"] + mixed[:90] + ["middle"] + mixed[110:], mixed[30:180], ["same"] * 60, ["x"] + ["same"] * 75]
+    assert gone_lines(spark, docs) == every_repeated_run(docs)
 
 
 def every_repeated_run(docs: list[list[str]], min_lines: int = 3, min_words: int = 50) -> list[set[int]]:
@@ -263,7 +236,7 @@ def every_repeated_run(docs: list[list[str]], min_lines: int = 3, min_words: int
 
 def gone_lines(spark, docs: list[list[str]]) -> list[set[int]]:
     found = line_dedup.removed_by_document(documents(spark, ["\n".join(x) for x in docs])).collect()
-    gone = {r["__doc"]: set(r["__gone"]) for r in found}
+    gone = {r.doc_id: set(r.places) for r in found}
     return [gone.get(d, set()) for d in range(len(docs))]
 
 
