@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -10,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,48 +22,119 @@ from tessera.llm.common import prepare_python, raw, remembered, saved
 CAPACITY = 2048
 #: Distinct words whose ids a worker remembers, and the longest word that it remembers.
 CACHE_WORDS, CACHE_BYTES = 1_000_000, 48
+#: Words of the texts that are encoded together.
+GROUP_WORDS = 200_000
 #: Matches that are sent to all executors. More are joined by a shuffle.
 BROADCAST_MATCHES = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
+#: Pieces that the tokenizer gets as one text.
+JOINED = 64
+
 #: White space that Python splits at and the tokenizer's pattern does not, and strings of special tokens.
 _UNSAFE = re.compile("[\x1c-\x1f]|<\\|")
+#: Words whose lower case and pieces are the same in Python and in the tokenizer, and its pattern for pieces of those (fixed value).
+_PLAIN = re.compile("[\x21-\x7e\xa1-\xff]+")
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class _Ids(dict):
-    """Little-endian ids of a word. No token of this vocabulary spans white space, so words are encoded one by one."""
+    """Little-endian ids of a word. No token of this vocabulary spans white space, so words are encoded one by one.
+
+    Words that a frame meets first are cut into the tokenizer's own pieces (lower-case letters, digits, other signs), and
+    only pieces that no word had before are encoded, many in a call: words differ more by case and signs than pieces do.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        # for pieces, which are in lower case and cut already
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or None
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= CACHE_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        if _UNSAFE.search(text):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        """A word that was not learned before: too long to keep."""
+        return self.encode(word)
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        """Ids of pieces: a piece's last token has the mark of a word's end, and no other token of it has."""
+        texts = [" ".join(new[at : at + JOINED]) for at in range(0, len(new), JOINED)]
+        for at, got in enumerate(self.bare.encode_batch_fast(texts, add_special_tokens=False)):
+            own, ids = new[at * JOINED : (at + 1) * JOINED], np.asarray(got.ids, dtype="<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(own):
+                flat, edges = ids.tobytes(), [0, *(4 * last).tolist()]
+                self.pieces.update(zip(own, (flat[a:b] for a, b in zip(edges, edges[1:], strict=False)), strict=True))
+            else:
+                self.pieces.update((p, self.encode(p)) for p in own)
+
+    def learn(self, words: set[str]) -> None:
+        """Make the ids of all of these words known, but for very long ones."""
+        new = [w for w in words if w not in self and len(w) <= CACHE_BYTES]
+        if len(self) + len(new) > CACHE_WORDS:
+            self.clear()
+            self.pieces.clear()
+            new = [w for w in words if len(w) <= CACHE_BYTES]
+        find, plain, of = _PIECES.findall, _PLAIN.fullmatch, self.pieces.get
+        waiting, missing = [], set()
+        for w in new:
+            if not plain(w):
+                self[w] = self.encode(w)
+                continue
+            lower = w.lower()
+            ids = of(lower)
+            if ids is not None:
+                self[w] = ids
+                continue
+            own = (lower,) if lower.isascii() and lower.isalpha() else tuple(find(lower))
+            waiting.append((w, own))
+            missing.update(own)
+        missing = [p for p in missing if p not in self.pieces]
+        if missing:
+            self._learn_pieces(missing)
+        of = self.pieces.__getitem__
+        for w, own in waiting:
+            self[w] = of(own[0]) if len(own) == 1 else b"".join(map(of, own))
+
+    def of_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text. Texts are learned from in groups, so that the words of a few are held at once."""
+        group: list[list[str] | str] = []
+        held = 0
+        for text in texts:
+            own = text if _UNSAFE.search(text) else text.split()
+            group.append(own)
+            held += len(own)
+            if held >= GROUP_WORDS:
+                yield from self._of_group(group)
+                group, held = [], 0
+        yield from self._of_group(group)
+
+    def _of_group(self, group: list[list[str] | str]) -> Iterator[bytes]:
+        self.learn(set().union(*[own for own in group if not isinstance(own, str)]))
+        for own in group:
+            yield self.encode(own) if isinstance(own, str) else b"".join(map(self.__getitem__, own))
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = remembered("packing", path, lambda: _Ids(path)).of
+        known = remembered("packing", path, lambda: _Ids(path))
         for frame in batches:
             rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                ids = ids_of(text) + end
+            for doc_id, found in zip(frame["doc_id"], known.of_all(frame["text"].tolist()), strict=True):
+                ids = found + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own)))
