@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -41,10 +42,36 @@ def remembered(operator: str, key: str, make: Callable[[], object]) -> object:
     return _remembered[operator, key]
 
 
+def thrifty(run: Callable) -> Callable:
+    """A function over batches that gives the memory of its Python worker back when a task ends: workers outlive stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
+def _give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="tessera-"))
         folder = _own_folder[0]
@@ -91,6 +118,11 @@ def raw(column: str = "text"):
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def sent_if_small(table: DataFrame, rows: int) -> DataFrame:
+    """A written table, marked for a broadcast if it has at most so many rows."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 _SEPARATORS = [c for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122 or 65 <= c <= 90)]
 _TABLE = bytes.maketrans(bytes(_SEPARATORS) + bytes(range(65, 91)), b" " * len(_SEPARATORS) + bytes(range(97, 123)))
 

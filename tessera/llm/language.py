@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare_python, raw
+from tessera.llm.common import prepare_python, raw, thrifty
 
 #: Subwords are hashed to 2 ** BITS embeddings of WIDTH numbers.
 BITS, WIDTH = 16, 16
@@ -36,14 +36,20 @@ class Model:
 
 def subwords(text: bytes, bits: int = BITS) -> np.ndarray:
     """Hashes of all runs of 2 to 4 bytes of the text, A-Z lower-cased, other ASCII than letters as one space each."""
-    b = np.frombuffer(b" " + text.translate(_LETTERS) + b" ", dtype=np.uint8).astype(np.uint32)
-    out, h = [], b
-    for n in range(2, 5):
-        if len(b) < n:
-            break
-        h = h[:-1] * np.uint32(0x01000193) ^ b[n - 1 :]
-        out.append((h * np.uint32(0x9E3779B1) + np.uint32(n)) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits))
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
+    return np.concatenate([np.zeros(0, dtype=np.uint32), *_blocks(text, bits)])
+
+
+def _blocks(text: bytes, bits: int = BITS, block: int = BLOCK) -> Iterator[np.ndarray]:
+    """The same, for a block of a long text at a time. A run that crosses an edge belongs to the block that it starts in."""
+    text = b" " + text.translate(_LETTERS) + b" "
+    for at in range(0, len(text), block):
+        b = np.frombuffer(text[at : at + block + 3], dtype=np.uint8).astype(np.uint32)
+        h = b
+        for n in range(2, 5):
+            if len(b) < n:
+                break
+            h = h[:-1] * np.uint32(0x01000193) ^ b[n - 1 :]
+            yield ((h * np.uint32(0x9E3779B1) + np.uint32(n)) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits))[:block]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -113,7 +119,7 @@ def train(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
                 n.append((counts[own] / max(1, counts.sum())).astype("<f4").tobytes())
             yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "x": x, "share": n})
 
-    rows = texts.mapInPandas(shares, "doc_id long, label string, x binary, share binary").collect()
+    rows = texts.mapInPandas(thrifty(shares), "doc_id long, label string, x binary, share binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, r.x))
     languages = sorted({r.label for r in rows})
     samples = [(np.frombuffer(r.x, dtype="<u4").astype(np.int64), np.frombuffer(r.share, dtype="<f4").astype(float)) for r in rows]
@@ -141,8 +147,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     scores.append(0.0)
                     continue
                 total, n = np.zeros(len(m.languages)), 0
-                for at in range(0, len(text), BLOCK):
-                    x = subwords(text[at : at + BLOCK], bits)
+                for x in _blocks(text, bits):
                     # every subword of the block adds its row of the table
                     total += np.bincount(x, minlength=2**bits) @ m.table if len(x) > 2 ** (bits - 1) else m.table[x].sum(axis=0, dtype=float)
                     n += len(x)
@@ -152,4 +157,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "lang_pred": names, "score": scores, "rejected": np.asarray(scores) < reject})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw(text_col).alias("raw"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return rows.mapInPandas(thrifty(run), "doc_id long, lang_pred string, score double, rejected boolean")

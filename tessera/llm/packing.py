@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import prepare_python, raw, remembered, saved
+from tessera.llm.common import prepare_python, remembered, saved, thrifty
 
 CAPACITY = 2048
 #: Distinct words whose ids a worker remembers, and the longest word that it remembers.
@@ -147,7 +147,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     """One row for each piece of at most `capacity` ids of a document: its ids and then `end_id`. Null text: empty."""
     prepare_python(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInPandas(_pieces(tokenizer_path, capacity, end_id), PIECES)
+    return texts.mapInPandas(thrifty(_pieces(tokenizer_path, capacity, end_id)), PIECES)
 
 
 class Gaps:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare_python, new_path, saved
+from tessera.llm.common import new_path, prepare_python, saved, sent_if_small, thrifty
 
 SEGMENT_BYTES, CHUNK_BYTES = 32_768, 8_192
 #: Revisits whose ids are sent to all executors; more are joined by a shuffle.
@@ -87,13 +87,18 @@ def _record(kind: str, record_id: str, block: bytes, **fields: object) -> bytes:
     return VERSION + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> Iterator[bytes]:
-    """The records of a page: a revisit; or a response, cut into a first segment and continuations if its block is long."""
-    name, digest = f"{URN}{page_id}", f"sha1:{digest_of(payload)}"
+def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, copy: str = "0") -> Iterator[bytes]:
+    """The records of a page: a revisit; or a response, cut into a first segment and continuations if its block is long.
+
+    A record's id has the page's id, the payload's digest and `copy`, which tells rows with the same id and payload apart;
+    a revisit refers to the id and digest of its response, whichever copy of it.
+    """
+    own = digest_of(payload)
+    name, digest = f"{URN}{page_id}:{own}:{copy}", f"sha1:{own}"
     target = "".join((url or "").split()) or None
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        yield _record("revisit", name, block, WARC_Target_URI=target, WARC_Profile=PROFILE, WARC_Payload_Digest=digest, WARC_Refers_To=f"<{URN}{refers_to}>", Content_Type="application/http;msgtype=response")
+        yield _record("revisit", name, block, WARC_Target_URI=target, WARC_Profile=PROFILE, WARC_Payload_Digest=digest, WARC_Refers_To=f"<{URN}{refers_to}:{own}>", Content_Type="application/http;msgtype=response")
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
@@ -104,39 +109,47 @@ def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int |
 
 
 def first_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload, of at least `min_bytes`, an earlier page has as well.
+    """(page_id, key, bytes, refers_to) of the payloads, of at least `min_bytes`, that a page with a lesser id has as well.
 
     Only ids, digests and lengths are shuffled; a large group is aggregated before its shuffle, and the join back to
-    its rows is one that adaptive execution splits.
+    its rows is one that adaptive execution splits. Rows that repeat a page_id are told apart by their payloads.
     """
-    keys = pages.select("page_id", F.sha2("payload", 256).alias("key"), F.length("payload").alias("bytes")).where(F.col("bytes") >= min_bytes)
-    firsts = keys.groupBy("key", "bytes").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keys.join(firsts, ["key", "bytes"]).where("page_id > refers_to").select("page_id", "refers_to")
+    keys = pages.select("page_id", _key().alias("key"), F.length("payload").alias("bytes")).where(F.col("bytes") >= min_bytes)
+    firsts = keys.groupBy("key", "bytes").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
+    return keys.join(firsts, ["key", "bytes"]).where("page_id > refers_to").select("page_id", "key", "bytes", "refers_to").distinct()
+
+
+def _key():
+    return F.sha2("payload", 256)
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> None:
     """Write a WARC record for each row of pages (page_id, url, payload), with Spark's committed text writer.
 
-    Rows without a page_id have no record. Rows that share an id and a payload are each written as they are.
+    Rows without a page_id have no record. Every other row has one with an id of its own: rows that share an id and a
+    payload as well, which are all responses if no lesser page has that payload.
     """
     spark = pages.sparkSession
     prepare_python(spark)
     pages = pages.where("page_id is not null")
-    revisits = saved(first_pages(pages, min_bytes).distinct(), "warc-revisits")
-    if revisits.count() <= BROADCAST_REVISITS:
-        revisits = F.broadcast(revisits)
+    revisits = sent_if_small(saved(first_pages(pages, min_bytes), "warc-revisits"), BROADCAST_REVISITS)
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, row = TaskContext.get().partitionId(), 0
         for frame in batches:
             out = []
             for page_id, url, payload, refers_to in zip(frame["page_id"], frame["url"], frame["payload"], frame["refers_to"], strict=True):
                 of = None if pd.isna(refers_to) else int(refers_to)
                 # the writer ends a row with a line feed, which is the last byte of a record
-                out += [r[:-1] for r in page_records(int(page_id), url, payload, of, segment_bytes, chunk_bytes)]
+                out += [r[:-1] for r in page_records(int(page_id), url, payload, of, segment_bytes, chunk_bytes, f"{part}.{row}")]
+                row += 1
             yield pd.DataFrame({"record": out})
 
-    rows = pages.join(revisits, "page_id", "left").select("page_id", "url", "payload", "refers_to")
-    rows.mapInPandas(records, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    keyed = pages.withColumn("key", _key()).withColumn("bytes", F.length("payload"))
+    rows = keyed.join(revisits, ["page_id", "key", "bytes"], "left").select("page_id", "url", "payload", "refers_to")
+    rows.mapInPandas(thrifty(records), "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def parse_record(raw: bytes) -> dict:
@@ -165,7 +178,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             yield rows.astype({"segment": "Int32", "total": "Int64"})
 
     lines = spark.read.option("lineSep", "\n" + VERSION.decode()).text(path)
-    return lines.select(F.col("value").cast("binary").alias("raw")).where(F.length("raw") > 0).mapInPandas(parse, RECORD)
+    return lines.select(F.col("value").cast("binary").alias("raw")).where(F.length("raw") > 0).mapInPandas(thrifty(parse), RECORD)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
@@ -196,6 +209,11 @@ def reassemble(records: DataFrame) -> DataFrame:
     return whole.unionByName(joined.withColumn("content", F.when(F.col("problem").isNull(), F.col("content"))))
 
 
+def page_of(record_id: str) -> int:
+    """The page's id that a record's id has."""
+    return int(record_id.removeprefix(URN).split(":")[0])
+
+
 def payloads(whole: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload, problem) of whole response and revisit records.
 
@@ -208,7 +226,7 @@ def payloads(whole: DataFrame) -> DataFrame:
         for frame in batches:
             out = []
             for r in frame.itertuples():
-                page, refers = int(r.record_id.removeprefix(URN)), None if r.refers_to is None else int(r.refers_to.removeprefix(URN))
+                page, refers = page_of(r.record_id), None if r.refers_to is None else page_of(r.refers_to)
                 size, digest, payload, problem = None, None, None, r.problem
                 try:
                     if problem is None and r.record_type == "revisit":
@@ -223,14 +241,15 @@ def payloads(whole: DataFrame) -> DataFrame:
                 out.append((page, size, digest, r.record_type, refers, payload, problem))
             yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "problem"]).astype({"payload_bytes": "Int64", "refers_to": "Int64"})
 
-    return whole.where("record_type in ('response', 'revisit')").mapInPandas(decode, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, problem string")
+    return whole.where("record_type in ('response', 'revisit')").mapInPandas(thrifty(decode), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, problem string")
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> DataFrame:
     """Write an archive of pages (page_id, url, html) and return what reading it back gives, one row a page.
 
-    Null html is an empty payload, a null url a record without a target. Nothing is lost or guessed: a record that can't be
-    read back has its `problem` stated.
+    Null html is an empty payload, a null url a record without a target; rows without a page_id have no record. Rows that
+    repeat a page_id, with the same payload or another, are one row each; payloads of any length are segmented. Nothing is
+    lost or guessed: a record that can't be read back has its `problem` stated. An empty table gives an empty result.
     """
     spark = pages.sparkSession
     to = path or new_path(spark, "warc")
