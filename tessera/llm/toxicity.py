@@ -12,13 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare_python, raw, remembered, words
+from tessera.llm.common import fresh, prepare_python, raw, remembered, saved, sent_if_small, thrifty, words
 
 #: Features are hashed to 2 ** BITS coordinates.
 BITS = 22
 #: Most labelled documents that are learned from: those with the least hash of their id.
 SAMPLE = 10_000
 ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 15.0, 0.1, 8
+#: Rejected documents whose ids are sent to all executors; more are taken out by a shuffle.
+BROADCAST_REJECTED = 1_000_000
 
 
 @dataclass
@@ -45,14 +47,19 @@ def features(tokens: list[bytes], bits: int = BITS) -> np.ndarray:
 
 
 def fit(samples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, passes: int = PASSES) -> Model:
-    """FTRL-proximal with a rate for each coordinate. A sample is its distinct coordinates; those of a single document are left out; the intercept is not regularised."""
-    # a coordinate of one document only says nothing of others; the rest are numbered anew, so that state is as large as they are
+    """FTRL-proximal with a rate for each coordinate. A sample is its distinct coordinates; the intercept is not regularised.
+
+    A gradient is 1 at most, so a coordinate that a single document has can't pass `l1` in as many passes or fewer: then
+    those are left out before.
+    """
+    # what is left is numbered anew, so that state is as large as that
     once, shared = np.zeros(2**bits, dtype=bool), np.zeros(2**bits, dtype=bool)
     for x in samples:
         shared[x] |= once[x]
         once[x] = True
-    known = np.flatnonzero(shared)
-    samples = [np.searchsorted(known, x[shared[x]]).astype("<u4") for x in samples]
+    kept = shared if passes <= l1 else once
+    known = np.flatnonzero(kept)
+    samples = [np.searchsorted(known, x[kept[x]]).astype("<u4") for x in samples]
     z, n = np.zeros(len(known)), np.zeros(len(known))
     zb = nb = 0.0
     positive = max(1, int(labels.sum()))
@@ -101,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
             own = [np.unique(features(words(t), bits)).astype("<u4").tobytes() for t in frame["raw"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "x": own})
 
-    rows = texts.mapInPandas(coordinates, "doc_id long, label int, x binary").collect()
+    rows = texts.mapInPandas(thrifty(coordinates), "doc_id long, label int, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
     return fit([np.frombuffer(r.x, dtype="<u4") for r in rows], np.asarray([r.label for r in rows], dtype=float), bits)
 
@@ -117,7 +124,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for frame in batches:
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": [scorer(t) for t in frame["raw"]]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), raw(text_col).alias("raw")).mapInPandas(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), raw(text_col).alias("raw")).mapInPandas(thrifty(run), "doc_id long, score double")
 
 
 class Scorer:
@@ -135,16 +142,25 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """The documents whose score is under the threshold, with all their columns."""
+def clean(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """The documents whose score is under the threshold, with all their columns.
+
+    Only ids and hashes of the rejected rows come from Python, and are written; rows with the same id and text go by them,
+    so the other columns, of any name, never pass through Python. Rows that share an id are scored each on its own; null
+    and empty texts have the score of the intercept, null ids are ids like others. An empty table gives an empty result.
+    """
     spark = docs.sparkSession
     prepare_python(spark)
     sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    own_id, own_hash = fresh("id"), fresh("hash")
+    row_id, row_hash = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = remembered("toxicity", key, lambda: Scorer(sent.value, bits))
-        for texts in batches:
-            yield pd.Series([scorer(t) for t in texts], dtype=float)
+        for frame in batches:
+            bad = np.fromiter((scorer(t) >= threshold for t in frame["raw"]), dtype=bool, count=len(frame))
+            yield frame.loc[bad, [own_id, own_hash]].astype({own_id: "Int64"})
 
-    return docs.where(scored(raw(text_col)) < threshold)
+    scored = docs.select(row_id.alias(own_id), row_hash.alias(own_hash), raw(text_col).alias("raw"))
+    rejected = saved(scored.mapInPandas(thrifty(run), f"{own_id} long, {own_hash} long").distinct(), "toxic")
+    return docs.join(sent_if_small(rejected, BROADCAST_REJECTED), row_id.eqNullSafe(F.col(own_id)) & (row_hash == F.col(own_hash)), "left_anti")

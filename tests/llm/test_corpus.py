@@ -80,6 +80,39 @@ def test_near_duplicates(spark, texts):
     assert left.columns == ["doc_id", "text", "lang", "key", "block"] and left.count() == sum(root(i) == i for i in range(len(sets)))
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (None, c), (7, c + " z"), (7, c + " z"), (9, c + " q"), (9, ""), (9, None), (8, "one"), (8, "two")]
+    docs = spark.createDataFrame([(i, t, "s", "h", 5) for i, t in rows], "doc_id long, text string, same string, hash string, rep int")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_dup.near_duplicates(docs).collect())
+    want = [("1", 56, "1", True)] * 2 + [("2", 57, "1", False), ("3", 57, "1", False), ("None", 56, "None", True)] + [("7", 57, "7", True)] * 2
+    want += [("9", 57, "7", False), ("9", 0, "9", True), ("9", 0, "9", True), ("8", 1, "8", True), ("8", 1, "8", True)]
+    assert got == sorted(want)
+    left = near_dup.one_of_each(docs)
+    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "1", "7", "7", "8", "8", "None"]
+
+
+def test_samples_find_pairs_of_large_sets():
+    """The estimate for sets of over SAMPLE shingles alone: no planted pair at 75 to 80 % is lost."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        sets = []
+        for _ in range(100):
+            n = int(rng.integers(300, 3_000))
+            share = rng.uniform(0.75, 0.80)
+            both = int(np.ceil(2 * n * share / (1 + share)))
+            x = rng.integers(0, 2**64, 2 * n - both, dtype=np.uint64)
+            sets += [np.sort(x[:n]), np.sort(x[n - both :])]
+        samples = {"n": [len(x) for x in sets], "sample": [near_dup.sample_of(x) for x in sets]}
+        cell = pd.DataFrame({"rep": range(200), "component": range(200), "block": 0, "shingle": 0, "rare": [np.zeros(0, dtype=np.int64)] * 200, **samples})
+        found = near_dup._similar_in(cell, near_dup.PERCENT)
+        assert {(2 * i, 2 * i + 1) for i in range(100)} <= set(zip(found["a"], found["b"], strict=True))
+
+
 def test_a_pair_within_the_distance_shares_a_bucket():
     import numpy as np
 
@@ -197,6 +230,52 @@ def test_warc(spark):
         warc.unchunked(b"5\r\nabc")
 
 
+def test_warc_with_repeated_page_ids(spark):
+    long = "y" * 90_000
+    rows = [(1, "a"), (2, "b"), (2, "a"), (0, "c"), (3, "a"), (3, "c"), (4, long), (4, long), (4, long + "z"), (None, "a"), (5, "b"), (5, "b")]
+    pages = spark.createDataFrame([(i, "http://h/", x) for i, x in rows], "page_id long, url string, html string").repartition(3)
+    least = {x: min(i for i, y in rows if y == x and i is not None) for _, x in rows}
+    want = sorted((i, len(x), warc.digest_of(x.encode()), "response" if i == least[x] else "revisit", -1 if i == least[x] else least[x]) for i, x in rows if i is not None)
+    got = warc.archive_round_trip(pages).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, -1 if r.refers_to is None else r.refers_to) for r in got) == want
+    assert all(r.problem is None for r in got)
+
+
+def test_decontamination_of_rows_that_share_ids(spark):
+    item = " ".join(f"b{i}" for i in range(12))
+    rows = [(1, f"x {item} y"), (1, "clean words"), (None, item), (None, "other"), (None, None), (2, f"z {item} {'w ' * 30}"), (2, f"z {item} {'w ' * 30}")]
+    docs = spark.createDataFrame([(i, t, "own", "too") for i, t in rows], "doc_id long, text string, spans string, raw string")
+    benchmark = spark.createDataFrame([(1, item), (2, "solo"), (3, " ".join(f"q{i}" for i in range(20)))], "item_id long, text string")
+    results = []
+    for limit in (3, 1_000_000):
+        found = decontaminate.report(decontaminate.scan(docs, benchmark, limit=limit)).collect()
+        results.append(sorted(map(str, found)))
+        assert sorted(r.n_hit for r in found) == [0, 0, 0, 12, 12, 12, 12]
+        left = decontaminate.clean(docs, benchmark, limit=limit)
+        assert left.columns == docs.columns and {(r.spans, r.raw) for r in left.collect()} == {("own", "too")}
+        assert sorted(str(r.text).strip()[:3] for r in left.collect()) == ["Non", "cle", "oth", "z  ", "z  "]
+    assert results[0] == results[1]
+
+
+def test_automaton_stays_under_its_bound():
+    import pickle
+
+    rng = random.Random(8)
+    for few in (3, 50, 100_000):
+        items = [(str(i), [b"w%d" % rng.randrange(few) for _ in range(200)]) for i in range(50)]
+        made = decontaminate.SuffixAutomaton(items)
+        distinct = {w for _, x in items for w in x}
+        assert len(pickle.dumps(made)) < decontaminate.automaton_bytes(10_000, len(distinct), sum(map(len, distinct)))
+
+
+def test_language_blocks_have_the_same_subwords():
+    import numpy as np
+
+    text = "Th\u00e9 quick 123 brown fox ".encode() * 20
+    for block in (1, 7, 64, 10_000):
+        assert sorted(np.concatenate(list(language._blocks(text, 16, block))).tolist()) == sorted(language.subwords(text, 16).tolist())
+
+
 def test_line_dedup(spark):
     a, b, c, d = ("first short line", "second short line", "third short line", "fourth one")
     long = " ".join(f"word{i}" for i in range(55))
@@ -383,6 +462,6 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
                 lo, hi = sorted((component[a], component[b]))
                 component = {i: lo if c == hi else c for i, c in component.items()}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for rounds in (1, 2):
+    for rounds in (0, 1, 2):
         found = near_dup.near_duplicates(docs, star_rounds=rounds).collect()
         assert {r.doc_id: r.component_id for r in found} == component
