@@ -9,15 +9,33 @@ from pyspark.sql import functions as F
 
 #: Weights of fused views, and their names. Fixed values.
 FUSION = {"winnowing": 0.4, "ast": 0.25, "token": 0.2, "behavior": 0.15}
-#: Behaviour categories and the patterns that show them. Fixed values.
-BEHAVIOUR = {
-    "io": [r"\bopen\s*\(", r"\bread\b", r"\bwrite\b", r"\bprint\b"],
-    "network": [r"https?://", r"\bsocket\b", r"\brequest"],
-    "control": [r"\bif\b", r"\bfor\b", r"\bwhile\b"],
-    "error": [r"\btry\b", r"\bexcept\b", r"\bcatch\b"],
-    "licence": [r"\blicen[sc]e", r"\bcopyright\b"],
-    "secret": [r"token", r"password", r"api[_-]?key"],
+#: What shows a behaviour, whatever the case: names and patterns of each category. Fixed values.
+API_CALLS = {
+    "http_request": r"\b(requests|httpx|urllib|fetch|axios)\.\w+\(",
+    "database": r"\b(sqlite|mysql|postgres|mongo|redis|sqlalchemy)\.\w+\(",
+    "file_io": r"\bopen\s*\(|\bread\s*\(|\bwrite\s*\(|\.read\(|\.write\(",
+    "network": r"\bsocket\s*\(|\.connect\s*\(|\.bind\s*\(",
+    "logging": r"\blogger\.\w+\(|logging\.\w+\(",
+    "testing": r"\bassert\s+|\bpytest|unittest|\.assertEqual",
+    "serialization": r"\bjson\.\w+\(|\.dumps\(|\.loads\(|pickle\.\w+\(",
+    "cli": r"\bargparse|click|sys\.argv",
 }
+EXCEPTIONS = [r"\btry\s*:", r"\bexcept\s+\w+", r"\bfinally\s*:", r"\braise\s+\w+", r"\bthrow\s+\w+"]
+CONCURRENCY = [r"\bthreading\.\w+|Thread\s*\(", r"\basync\s+def|await\s+", r"\bmultiprocessing\.\w+|Process\s*\(", r"\bconcurrent\.\w+", r"\bmutex|Lock\s*\(|Semaphore"]
+TRANSFORMS = [r"\bmap\s*\(|\.map\s*\(", r"\bfilter\s*\(|\.filter\s*\(", r"\breduce\s*\(", r"\bsorted\s*\(|\.sort\s*\(", r"\bsum\s*\(|max\s*\(|min\s*\(", r"\bgroupby\s*\("]
+ALGORITHMS = {
+    "sorting": r"\bsort|sorted|qsort|mergesort",
+    "searching": r"\bbinary_search|bsearch|find|index",
+    "graph": r"\bbfs|dfs|dijkstra|bellman|floyd",
+    "dynamic_programming": r"\bmemoriz|dp\[|fibonacci",
+    "hashing": r"\bhash|md5|sha256|digest",
+    "encryption": r"\bencrypt|decrypt|cipher|aes|rsa",
+}
+SECURITY = [r"\bsanitiz|escape|encode|validate", r"\bauth|permission|token|jwt|csrf", r"\bpassword|secret|credential"]
+#: A matched transform is named by so many of its first characters.
+TRANSFORM_CHARACTERS = 20
+#: Categories of which only the presence counts as structure.
+STRUCTURE = ["exception_handling", "concurrency", "security"]
 
 
 def jaccard(overlap: Column, n_a: Column, n_b: Column) -> Column:
@@ -75,17 +93,24 @@ def token_continuity(a: Column, b: Column, n: int = 5) -> Column:
 
 
 def behaviour(text: Column) -> Column:
-    """The signature of a text: sorted `category:number` of the patterns that occur."""
-    found = [F.when(text.rlike(f"(?i){p}"), F.lit(f"{c}:{i}")) for c, patterns in BEHAVIOUR.items() for i, p in enumerate(patterns)]
-    return F.array_sort(F.array_compact(F.array(*found)))
+    """The signature of a text: the sorted, distinct `category:item` that its patterns show."""
+    shows = lambda pattern: text.rlike(f"(?i){pattern}")
+    one = lambda category, item, patterns: F.when(reduce(lambda a, b: a | b, map(shows, patterns)), F.lit(f"{category}:{item}"))
+    items = [one("api_call", name, [p]) for name, p in API_CALLS.items()]
+    items += [one("algorithm", name, [p]) for name, p in ALGORITHMS.items()]
+    items += [one("exception_handling", "try_catch", EXCEPTIONS), one("concurrency", "concurrent", CONCURRENCY), one("security", "security_aware", SECURITY), one("io_operation", "file_io", [API_CALLS["file_io"]])]
+    for p in TRANSFORMS:
+        first = F.substring(F.regexp_extract(text, f"(?i){p}", 0), 1, TRANSFORM_CHARACTERS)
+        items.append(F.when(first != "", F.concat(F.lit("data_transform:"), first)))
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*items))))
 
 
 def behaviour_similarity(a: Column, b: Column) -> Column:
-    """0 to 1: 0.6 of the items' overlap and 0.4 of the agreement on which categories occur."""
-    cats = list(BEHAVIOUR)
+    """0 to 1: 0.6 of the items' overlap and 0.4 of the agreement on STRUCTURE; 1 if neither shows anything, 0 if one does not."""
     has = lambda s, c: F.exists(s, lambda x: x.startswith(f"{c}:"))
-    same = reduce(lambda x, y: x + y, [F.when(has(a, c) == has(b, c), 1.0).otherwise(0.0) for c in cats]) / len(cats)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(0.6 * jaccard_sets(a, b) / 100 + 0.4 * same)
+    same = reduce(lambda x, y: x + y, [F.when(has(a, c) == has(b, c), 1.0).otherwise(0.0) for c in STRUCTURE]) / len(STRUCTURE)
+    both = 0.6 * jaccard_sets(a, b) / 100 + 0.4 * same
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both)
 
 
 def multiset_jaccard(minima: Column, maxima: Column) -> Column:

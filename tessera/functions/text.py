@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Secrets and what takes their place. Fixed values.
+#: Secrets, whatever their case, and what takes their place. Fixed values.
 SECRETS = [
-    (r"AKIA[0-9A-Z]{16}", "[AWS_KEY]"),
-    (r"ghp_[A-Za-z0-9]{36}", "[TOKEN]"),
-    (r"(?i)(password|passwd|secret|token|api_key)\s*=\s*[^\s]+", "[SECRET]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
-    (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "[IP]"),
-    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "[PRIVATE_KEY]"),
+    (r"api[_-]?key\s*[:=]\s*['\"].+?['\"]", "api_key = '***REDACTED***'"),
+    (r"password\s*[:=]\s*['\"].+?['\"]", "password = '***REDACTED***'"),
+    (r"secret\s*[:=]\s*['\"].+?['\"]", "secret = '***REDACTED***'"),
+    (r"token\s*[:=]\s*['\"].+?['\"]", "token = '***REDACTED***'"),
+    (r"credential\s*[:=]\s*['\"].+?['\"]", "credential = '***REDACTED***'"),
+    (r"private[_-]?key\s*[:=]\s*['\"].+?['\"]", "private_key = '***REDACTED***'"),
+    (r"access[_-]?key\s*[:=]\s*['\"].+?['\"]", "access_key = '***REDACTED***'"),
+    (r"secret[_-]?key\s*[:=]\s*['\"].+?['\"]", "secret_key = '***REDACTED***'"),
+    (r"connection[_-]?string\s*[:=]\s*['\"].+?['\"]", "connection_string = '***REDACTED***'"),
+    (r"database[_-]?url\s*[:=]\s*['\"].+?['\"]", "database_url = '***REDACTED***'"),
+    (r"-----BEGIN (?:RSA |DSA |EC )?PRIVATE KEY-----[\s\S]+?-----END", "***REDACTED PRIVATE KEY***"),
 ]
 #: Languages of file extensions. Fixed values.
 EXTENSIONS = {"py": "python", "java": "java", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "html": "html"}
@@ -47,7 +52,7 @@ def code_tokens(code: Column, language: str = "python") -> Column:
 
 def redacted(text: Column) -> Column:
     for pattern, put in SECRETS:
-        text = F.regexp_replace(text, pattern, put)
+        text = F.regexp_replace(text, f"(?i){pattern}", put)
     return text
 
 

@@ -56,7 +56,7 @@ def similar_pairs(fps: DataFrame, threshold: float, key: str = "id") -> DataFram
     df = fps.groupBy("fp").agg(F.count("*").alias("df"))
     sized = with_sizes(fps.join(df, "fp"), key)
     place = F.row_number().over(Window.partitionBy(key).orderBy("df", "fp"))
-    keep = F.col("n") - F.ceil(F.col("n") * (threshold / 100.0)) + 1
+    keep = F.col("n") - F.ceil(F.col("n") * threshold / 100 - 1e-9) + 1
     prefix = sized.where("df > 1 or n = 0").select(F.col(key), "fp", "n") if threshold <= 0 else sized.withColumn("place", place).where((F.col("place") <= keep) & (F.col("df") > 1)).select(F.col(key), "fp", "n")
     a = prefix.select(F.col(key).alias("a"), "fp", F.col("n").alias("n_a"))
     b = prefix.select(F.col(key).alias("b"), "fp", F.col("n").alias("n_b"))

@@ -128,8 +128,89 @@ def gate_status(results: DataFrame) -> DataFrame:
     return results.groupBy("gate").agg(F.when(F.bool_or(F.col("status") == "FAILED"), "FAILED").when(F.bool_or(F.col("status") == "WARNING"), "WARNING").otherwise("PASSED").alias("status"))
 
 
-def patch_analysis(messages: Column, old: Column, new: Column, patterns: list[str]) -> Column:
-    """0 to 1: commit messages that speak of a fix, and how much of the new fingerprints the old lack."""
-    hits = F.size(F.filter(messages, lambda m: m.rlike("(?i)(" + "|".join(patterns) + ")")))
-    fresh = F.size(F.array_except(new, old)) / F.greatest(F.size(new), F.lit(1))
-    return 0.4 * F.least(hits, F.lit(3)) / 3 + F.when(fresh >= 0.15, 0.3).otherwise(0.0)
+#: Commit messages that speak of a security fix, and code that shows one, whatever the case. Fixed values.
+FIX_MESSAGES = [
+    r"\bcve[-_]\d{4}[-_]\d+",
+    r"\bfix\s+(security|vuln|vulnerability)",
+    r"\b(security|vulnerability)\s+fix",
+    r"\bpatch\s+(security|vuln)",
+    r"\b(address|resolve|close)\s+(cve|vuln|security)",
+    r"\b(xss|injection|csrf|ssrf|rce)\b",
+    r"\bfix\s+(xss|injection|csrf|ssrf|rce)",
+    r"\bbuffer\s+overflow",
+    r"\bprivilege\s+escalation",
+]
+FIX_CODE = {
+    "input_sanitization": r"\binput_sanitiz\w+",
+    "parameter_check": r"\bparam\w*_check\w*",
+    "boundary_check": r"\bbound\w*_check\w*",
+    "length_validation": r"\b(length|size|count)\s*[<>=!]+\s*\w+",
+    "output_encoding": r"\b(escape|encode|sanitize)\s*\(",
+    "access_control": r"\b(auth|permission|access)_check\w*",
+    "sql_injection_prevention": r"\b(prepared|parameterized)\s*statement",
+    "timing_safe_compare": r"\bcrypt\w*_compare\w*",
+    "csrf_protection": r"\b(csrf|token)_verify",
+    "rate_limiting": r"\brate\s*limit",
+}
+#: A pair under this similarity isn't analysed; a share of new fingerprints and a confidence that count. Fixed values.
+PATCH_SIMILARITY, NEW_SHARE, SAFE = 60.0, 0.15, 0.6
+
+
+def speaks_of_fix(message: Column) -> Column:
+    return message.rlike("(?i)(" + "|".join(FIX_MESSAGES) + ")")
+
+
+def fix_patterns(code: Column) -> Column:
+    """The names of the patterns that occur in code; none in null."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(code.rlike(f"(?i){p}"), F.lit(False)), F.lit(name)) for name, p in FIX_CODE.items()]))
+
+
+def patch_analysis(pairs: DataFrame) -> DataFrame:
+    """Adds new_share, confidence, patch_status and safe to pairs (similarity, n_a, n_b, overlap, n_messages, n_patterns).
+
+    `n_messages` counts the target's messages that speak of a fix, `n_patterns` the fix patterns of its code. Each gives its
+    part in thirds, a share of new fingerprints the rest; a pair under PATCH_SIMILARITY is unknown.
+    """
+    thirds = lambda n: F.least(F.col(n), F.lit(3)) / 3
+    fresh = F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), (F.col("n_b") - F.col("overlap")) / F.col("n_b")).otherwise(0.0)
+    known = F.col("similarity") >= PATCH_SIMILARITY
+    out = pairs.withColumn("new_share", F.when(known, fresh).otherwise(0.0))
+    score = 0.4 * thirds("n_messages") + 0.3 * thirds("n_patterns") + F.when(F.col("new_share") >= NEW_SHARE, 0.3).otherwise(0.0)
+    out = out.withColumn("confidence", F.when(known, score).otherwise(0.0))
+    status = F.when(~known, "unknown").when(F.col("confidence") >= 0.7 - 1e-9, "patched").when(F.col("confidence") > 0, "partially_patched").otherwise("unpatched")
+    out = out.withColumn("patch_status", status)
+    return out.withColumn("safe", F.col("patch_status").isin("patched", "partially_patched") & (F.col("confidence") >= SAFE))
+
+
+def entity_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(module, name, type, change, new_name, added, removed): how entities (module, name, type, params, body, line) of two versions differ.
+
+    Of entities with one name the one on the last line counts. Same name: modified if the body differs, with the parameters that came
+    and went, else moved if the line does. A name that is gone is renamed to the first new name (by line) of its type with its
+    body or with over 0.7 of the parameters in common, else removed; new names that none was renamed to are added.
+    New entities are aggregated by body and by parameters before they meet the gone ones, so no two lists are paired.
+    """
+
+    def last(d: DataFrame, mark: str) -> DataFrame:
+        fields = ["line", "type", "body", F.array_sort(F.array_distinct("params")).alias("params")]
+        return d.groupBy("module", "name").agg(F.max(F.struct(*fields)).alias(mark))
+
+    both = last(old, "o").join(last(new, "n"), ["module", "name"], "full")
+    gone = both.where("n is null").select("module", "name", "o.*")
+    fresh = both.where("o is null").select("module", "name", "n.*")
+    first = F.min(F.struct("line", "name")).alias("to")
+    by_body = gone.join(fresh.groupBy("module", "type", "body").agg(first), ["module", "type", "body"]).select("module", "name", "to")
+    lists = fresh.groupBy("module", "type", F.col("params").alias("p2")).agg(first)
+    each = lists.select("*", F.explode("p2").alias("param"))
+    shared = gone.select("module", "name", "type", "params", F.explode("params").alias("param")).join(each, ["module", "type", "param"])
+    shared = shared.groupBy("module", "name", "params", "p2", "to").agg(F.count("*").alias("c")).where("c > 0.7 * (size(params) + size(p2) - c)").select("module", "name", "to")
+    bare = gone.where("size(params) = 0").join(lists.where("size(p2) = 0").select("module", "type", "to"), ["module", "type"]).select("module", "name", "to")
+    renamed = by_body.unionByName(shared).unionByName(bare).groupBy("module", "name").agg(F.min("to").alias("to"))
+    none = F.array().cast("array<string>")
+    row = lambda d, change, to=F.lit(None).cast("string"), a=none, r=none: d.select("module", "name", "type", change.alias("change"), to.alias("new_name"), a.alias("added"), r.alias("removed"))
+    left = row(gone.join(renamed, ["module", "name"], "left"), F.when(F.col("to").isNull(), "removed").otherwise("renamed"), F.col("to.name"))
+    came = row(fresh.join(renamed.select("module", F.col("to.name").alias("name")).distinct(), ["module", "name"], "left_anti"), F.lit("added"))
+    stayed = both.where("o is not null and n is not null and (o.body <> n.body or o.line <> n.line)")
+    stayed = stayed.select("module", "name", "o.type", (F.col("o.body") != F.col("n.body")).alias("m"), F.col("o.params").alias("p"), F.col("n.params").alias("q"))
+    part = lambda x, y: F.when(F.col("m"), F.array_except(x, y)).otherwise(none)
+    return left.unionByName(came).unionByName(row(stayed, F.when(F.col("m"), "modified").otherwise("moved"), a=part("q", "p"), r=part("p", "q")))

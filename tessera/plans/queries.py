@@ -259,11 +259,36 @@ def affected_modules(spark, sf_dir):
     return table(spark, sf_dir, "pages").join(changed, "url", "left_semi").select("page_id").distinct()
 
 
-@query("SELECT conv_id, turn, role, CASE WHEN prev IS NULL THEN 'first' WHEN len(text) > len(prev) THEN 'longer' ELSE 'shorter' END AS change FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS prev FROM conversations)")
+_ENTITIES = """(SELECT l_orderkey AS module, 'f' || (l_partkey % 9) AS name, l_returnflag AS type, list_sort(list_distinct(['p' || (l_suppkey % 3), 'q' || (l_quantity::INT % 4)])) AS params, (l_suppkey % 4)::VARCHAR AS body, l_linenumber AS line
+    FROM lineitem WHERE {} QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey % 9 ORDER BY l_linenumber DESC, type DESC, body DESC, params DESC) = 1)"""
+
+
+def order_entities(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """An order as a module in two versions, its lines as entities: name by part, type by flag, parameters by supplier and quantity."""
+    lines = table(spark, sf_dir, "lineitem")
+    text_of = lambda letter, x: F.concat(F.lit(letter), x.cast("string"))
+    every = lines.select(
+        F.col("l_orderkey").alias("module"), text_of("f", F.col("l_partkey") % 9).alias("name"), F.col("l_returnflag").alias("type"),
+        F.array(text_of("p", F.col("l_suppkey") % 3), text_of("q", F.col("l_quantity").cast("int") % 4)).alias("params"),
+        (F.col("l_suppkey") % 4).cast("string").alias("body"), F.col("l_linenumber").alias("line"),
+    )
+    return every.where("line <= 4"), every.where("line >= 3")
+
+
+@query(f"""WITH o AS {_ENTITIES.format("l_linenumber <= 4")}, n AS {_ENTITIES.format("l_linenumber >= 3")},
+    gone AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.module = o.module AND n.name = o.name)),
+    fresh AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE n.module = o.module AND n.name = o.name)),
+    ren AS (SELECT g.module, g.name, arg_min(f.name, struct_pack(l := f.line, x := f.name)) AS to_name FROM gone g JOIN fresh f ON f.module = g.module AND f.type = g.type
+            AND (f.body = g.body OR len(list_intersect(f.params, g.params)) > 0.7 * len(list_distinct(list_concat(f.params, g.params)))) GROUP BY ALL)
+    SELECT g.module, g.name, g.type, CASE WHEN to_name IS NULL THEN 'removed' ELSE 'renamed' END AS change, to_name AS new_name, '' AS added, '' AS removed FROM gone g LEFT JOIN ren USING (module, name)
+    UNION ALL SELECT module, name, type, 'added', NULL, '', '' FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.module = f.module AND ren.to_name = f.name)
+    UNION ALL SELECT o.module, o.name, o.type, CASE WHEN o.body <> n.body THEN 'modified' ELSE 'moved' END, NULL,
+        CASE WHEN o.body <> n.body THEN array_to_string(list_sort(list_filter(n.params, lambda x: NOT list_contains(o.params, x))), ',') ELSE '' END,
+        CASE WHEN o.body <> n.body THEN array_to_string(list_sort(list_filter(o.params, lambda x: NOT list_contains(n.params, x))), ',') ELSE '' END
+    FROM o JOIN n USING (module, name) WHERE o.body <> n.body OR o.line <> n.line""")
 def entity_changes(spark, sf_dir):
-    before = F.lag("text").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
-    change = F.when(before.isNull(), "first").when(F.length("text") > F.length(before), "longer").otherwise("shorter")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", change.alias("change"))
+    found = matches.entity_diff(*order_entities(spark, sf_dir))
+    return found.select("module", "name", "type", "change", "new_name", F.array_join(F.array_sort("added"), ",").alias("added"), F.array_join(F.array_sort("removed"), ",").alias("removed"))
 
 
 @query(f"WITH {_MATCHES} SELECT least(source, target) AS x, greatest(source, target) AS y, count(*) AS n FROM m WHERE source <> target GROUP BY 1, 2")
@@ -414,24 +439,53 @@ def multiview_similarity(spark, sf_dir):
     return joined.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round(similarity.view_similarity(overlap, F.col("depth_a"), F.col("depth_b"), F.col("n_a"), F.col("n_b")), 6).alias("similarity"))
 
 
+def _quoted(pattern: str) -> str:
+    return "'(?i)" + pattern.replace("'", "''") + "'"
+
+
 def _behaviour_sql() -> str:
-    items = ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{c}:{i}' END" for c, ps in similarity.BEHAVIOUR.items() for i, p in enumerate(ps))
-    return f"SELECT doc_id AS id, array_to_string(list_sort(list_filter([{items}], lambda x: x IS NOT NULL)), ',') AS signature FROM documents"
+    """CTE sig (id, s)."""
+    one = lambda item, patterns: f"CASE WHEN {' OR '.join(f'regexp_matches(text, {_quoted(p)})' for p in patterns)} THEN '{item}' END"
+    items = [one(f"api_call:{n}", [p]) for n, p in similarity.API_CALLS.items()] + [one(f"algorithm:{n}", [p]) for n, p in similarity.ALGORITHMS.items()]
+    items += [one("exception_handling:try_catch", similarity.EXCEPTIONS), one("concurrency:concurrent", similarity.CONCURRENCY), one("security:security_aware", similarity.SECURITY), one("io_operation:file_io", [similarity.API_CALLS["file_io"]])]
+    items += [f"CASE WHEN regexp_matches(text, {_quoted(p)}) THEN 'data_transform:' || substr(regexp_extract(text, {_quoted(p)}), 1, {similarity.TRANSFORM_CHARACTERS}) END" for p in similarity.TRANSFORMS]
+    return f"sig AS (SELECT doc_id AS id, list_sort(list_distinct([{', '.join(items)}])) AS s FROM documents)"
 
 
-@query(_behaviour_sql())
+@query(f"WITH {_behaviour_sql()} SELECT id, array_to_string(s, ',') AS signature FROM sig")
 def behavior_signature(spark, sf_dir):
     return modules(spark, sf_dir).select("id", F.array_join(similarity.behaviour(F.col("text")), ",").alias("signature"))
 
 
-@query("SELECT l_orderkey, size_old, size_new, round(0.4 * least(fixes, 3) / 3.0 + CASE WHEN fresh >= 0.15 THEN 0.3 ELSE 0 END, 6) AS confidence FROM (SELECT l_orderkey, count(*) FILTER (l_linenumber % 2 = 0) AS size_old, count(*) FILTER (l_linenumber % 2 = 1) AS size_new, len(list_filter(list(l_returnflag), lambda x: x = 'R')) AS fixes, len(list_filter(list_distinct(list(l_suppkey) FILTER (l_linenumber % 2 = 1)), lambda x: NOT list_contains(coalesce(list(l_suppkey) FILTER (l_linenumber % 2 = 0), []), x))) / greatest(count(*) FILTER (l_linenumber % 2 = 1), 1) AS fresh FROM lineitem GROUP BY l_orderkey)")
+_SAME = " + ".join(f"CASE WHEN (len(list_filter(x.s, lambda v: starts_with(v, '{c}:'))) > 0) = (len(list_filter(y.s, lambda v: starts_with(v, '{c}:'))) > 0) THEN 1 ELSE 0 END" for c in similarity.STRUCTURE)
+
+
+@query(f"""WITH {_MATCHES}, {_behaviour_sql()} SELECT a, b, round(CASE WHEN len(x.s) = 0 AND len(y.s) = 0 THEN 1 WHEN len(x.s) = 0 OR len(y.s) = 0 THEN 0
+    ELSE 0.6 * len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))) + 0.4 * ({_SAME}) / 3 END, 6)::DOUBLE AS similarity FROM m JOIN sig x ON x.id = a JOIN sig y ON y.id = b""")
+def behavior_similarity(spark, sf_dir):
+    """Of pairs of matching modules."""
+    sig = modules(spark, sf_dir).select("id", similarity.behaviour(F.col("text")).alias("s"))
+    pairs = document_matches(spark, sf_dir).select("a", "b")
+    joined = pairs.join(sig.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    return joined.select("a", "b", F.round(similarity.behaviour_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+_FIXES = "least(3, coalesce(n_messages, 0)) / 3.0"
+_CODE = " + ".join(f"CASE WHEN regexp_matches(text, {_quoted(p)}) THEN 1 ELSE 0 END" for p in matches.FIX_CODE.values())
+
+
+@query(f"""WITH {_PAIRS}, msg AS (SELECT conv_id, count(*) AS n_messages FROM conversations WHERE regexp_matches(text, {_quoted('(' + '|'.join(matches.FIX_MESSAGES) + ')')}) GROUP BY conv_id),
+    p AS (SELECT a, b, similarity, (n_b - overlap) / n_b AS fresh, {_FIXES} AS m, least(3, coalesce({_CODE}, 0)) / 3.0 AS c FROM pairs LEFT JOIN msg ON conv_id = b JOIN documents ON doc_id = b WHERE similarity >= 40),
+    s AS (SELECT a, b, similarity, fresh, CASE WHEN similarity >= 60 THEN 0.4 * m + 0.3 * c + CASE WHEN fresh >= 0.15 THEN 0.3 ELSE 0 END ELSE 0 END AS confidence FROM p),
+    t AS (SELECT *, CASE WHEN similarity < 60 THEN 'unknown' WHEN confidence >= 0.7 - 1e-9 THEN 'patched' WHEN confidence > 0 THEN 'partially_patched' ELSE 'unpatched' END AS status FROM s)
+    SELECT a, b, round(CASE WHEN similarity >= 60 THEN fresh ELSE 0 END, 6)::DOUBLE AS new_share, round(confidence, 6)::DOUBLE AS confidence, status AS patch_status, status IN ('patched', 'partially_patched') AND confidence >= 0.6 AS safe FROM t""")
 def patch_confidence(spark, sf_dir):
-    odd = F.col("l_linenumber") % 2 == 1
-    grouped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.collect_list(F.when(~odd, F.col("l_suppkey"))).alias("old"), F.collect_list(F.when(odd, F.col("l_suppkey"))).alias("new"), F.collect_list("l_returnflag").alias("messages")
-    )
-    score = matches.patch_analysis(F.col("messages"), F.col("old"), F.col("new"), ["^R$"])
-    return grouped.select("l_orderkey", F.size("old").cast("long").alias("size_old"), F.size("new").cast("long").alias("size_new"), F.round(score, 6).alias("confidence"))
+    """Of matching modules; the target's messages are the conversation with its number."""
+    pairs = fingerprints.similar_pairs(module_fingerprints(spark, sf_dir), 40.0)
+    spoken = table(spark, sf_dir, "conversations").where(matches.speaks_of_fix(F.col("text"))).groupBy(F.col("conv_id").alias("b")).agg(F.count("*").alias("n_messages"))
+    code = modules(spark, sf_dir).select(F.col("id").alias("b"), F.size(matches.fix_patterns(F.col("text"))).alias("n_patterns"))
+    known = pairs.join(spoken, "b", "left").withColumn("n_messages", F.coalesce("n_messages", F.lit(0))).join(code, "b")
+    return matches.patch_analysis(known).select("a", "b", F.round("new_share", 6).alias("new_share"), F.round("confidence", 6).alias("confidence"), "patch_status", "safe")
 
 
 # --- statistics over matches
@@ -569,7 +623,7 @@ def gate_status(spark, sf_dir):
 def _redact_sql() -> str:
     x = "text"
     for p, put in text.SECRETS:
-        x = f"regexp_replace({x}, '{p}', '{put}', 'g')"
+        x = f"regexp_replace({x}, {_quoted(p)}, '{put.replace(chr(39), chr(39) * 2)}', 'g')"
     return f"SELECT doc_id AS id, sha256({x}) AS digest FROM documents"
 
 

@@ -156,3 +156,30 @@ def test_entry_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_redaction_and_behaviour(spark):
+    code = "import json\ntry:\n    api_key = 'abc'\n    open('f').read(); xs = sorted( map(f, xs))\nexcept ValueError:\n    raise X\n"
+    row = spark.createDataFrame([(code, "x = 1")], "a string, b string").select(text.redacted(F.col("a")).alias("r"), similarity.behaviour(F.col("a")).alias("x"), similarity.behaviour(F.col("b")).alias("y"))
+    got = row.withColumn("same", similarity.behaviour_similarity(F.col("x"), F.col("x"))).withColumn("none", similarity.behaviour_similarity(F.col("x"), F.col("y"))).first()
+    assert "api_key = '***REDACTED***'" in got.r and "abc" not in got.r
+    assert got.x == ["algorithm:sorting", "api_call:file_io", "data_transform:map(", "data_transform:sorted(", "exception_handling:try_catch", "io_operation:file_io"]
+    assert got.y == [] and (got.same, got.none) == (1.0, 0.0)
+
+
+def test_patch_analysis(spark):
+    rows = [(90.0, 10, 10, 8, 3, 3), (90.0, 10, 10, 10, 3, 0), (90.0, 10, 10, 10, 0, 0), (50.0, 10, 10, 1, 3, 3), (60.0, 10, 10, 8, 3, 0)]
+    pairs = spark.createDataFrame(rows, "similarity double, n_a int, n_b int, overlap int, n_messages int, n_patterns int")
+    got = [(round(r.confidence, 6), r.patch_status, r.safe) for r in matches.patch_analysis(pairs).collect()]
+    assert got == [(1.0, "patched", True), (0.4, "partially_patched", False), (0.0, "unpatched", False), (0.0, "unknown", False), (0.7, "patched", True)]
+    found = spark.createDataFrame([("Fix security hole, CVE-2020-1234",), ("tidy",)], "m string").select(matches.speaks_of_fix(F.col("m")).alias("x")).collect()
+    assert [r.x for r in found] == [True, False]
+
+
+def test_entity_diff(spark):
+    schema = "module int, name string, type string, params array<string>, body string, line int"
+    old = spark.createDataFrame([(1, "kept", "f", ["a"], "x", 1), (1, "changed", "f", ["a", "b"], "y", 5), (1, "gone", "f", ["z"], "g", 9), (1, "was", "f", ["p", "q"], "w", 12), (1, "shifted", "c", [], "s", 20), (1, "bare", "c", [], "t", 30)], schema)
+    new = spark.createDataFrame([(1, "kept", "f", ["a"], "x", 1), (1, "changed", "f", ["b", "c"], "y2", 5), (1, "now", "f", ["p", "q"], "w2", 14), (1, "shifted", "c", [], "s", 25), (1, "plain", "c", [], "u", 31), (1, "extra", "f", ["e"], "v", 40)], schema)
+    got = {(r.name, r.change, r.new_name, tuple(r.added), tuple(r.removed)) for r in matches.entity_diff(old, new).collect()}
+    assert got == {("changed", "modified", None, ("c",), ("a",)), ("gone", "removed", None, (), ()), ("was", "renamed", "now", (), ()), ("shifted", "moved", None, (), ()), ("bare", "renamed", "plain", (), ()), ("extra", "added", None, (), ())}
+    assert matches.entity_diff(old.limit(0), new.limit(0)).count() == 0
