@@ -422,7 +422,7 @@ def test_spelling_probabilities_add_up_to_one():
     for w in [*one, b""]:
         own = lm.bits_of([w], np.zeros(1, dtype=np.int64), code)
         k = int(code.length[w[0] if w else lm.END])
-        gate = model.met[own.slots[4]].astype(np.int64) * 3 + own.place
+        gate = model.met[own.slots[lm.GATE]].astype(np.int64) * 3 + own.place
         _, p = lm._combined(model.logit[own.slots], gate, own.nodes, model.weights, model.refine)
         first.append(np.prod(np.where(own.values == 1, p, 1 - p)[:k]))
     assert sum(first) == pytest.approx(1)
