@@ -408,6 +408,20 @@ def test_lm_score(spark):
     assert lm.score(docs.limit(0), crc_mod("doc_id", 10) == 0).count() == 0
 
 
+def test_running_classes():
+    import numpy as np
+
+    rng = random.Random(11)
+    for n in (1, 2, 30):
+        for _ in range(20):
+            votes = [rng.choice([0, 0, 0, 1, 2, 3, 4]) for _ in range(n)]
+            want = []
+            for i in range(n):
+                before = [votes[:i].count(k) if k else 0 for k in range(lm.CLASSES + 1)]
+                want.append(before.index(max(before)))
+            assert lm.running_classes(np.asarray(votes, dtype=np.int8)).tolist() == want
+
+
 def test_spelling_probabilities_add_up_to_one():
     import numpy as np
 
