@@ -56,11 +56,9 @@ def thrifty(run: Callable) -> Callable:
 
 def _give_back() -> None:
     import ctypes
-    import gc
 
     import pyarrow
 
-    gc.collect()
     pyarrow.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)
