@@ -22,12 +22,16 @@ def level(similarity: Column) -> Column:
 def sarif_results(matches: DataFrame) -> DataFrame:
     """(level, result) of matches (source, target, similarity): a SARIF result object as JSON for each. Secrets are masked."""
     place = lambda c: F.array(F.struct(F.struct(F.struct(text.redacted(F.col(c).cast("string")).alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
-    message = text.redacted(F.format_string("Code similarity %.1f%%: %s <-> %s", F.col("similarity").cast("double"), F.col("source").cast("string"), F.col("target").cast("string")))
+    message = text.redacted(F.format_string("%s and %s are %.1f%% alike", F.col("source").cast("string"), F.col("target").cast("string"), F.col("similarity").cast("double")))
     severity = level(F.col("similarity"))
-    result = F.struct(F.lit("MM001").alias("ruleId"), F.lit(0).alias("ruleIndex"), severity.alias("level"), F.struct(message.alias("text")).alias("message"), place("source").alias("locations"), place("target").alias("relatedLocations"))
+    result = F.struct(F.lit(RULE).alias("ruleId"), F.lit(0).alias("ruleIndex"), severity.alias("level"), F.struct(message.alias("text")).alias("message"), place("source").alias("locations"), place("target").alias("relatedLocations"))
     return matches.select("source", "target", severity.alias("level"), F.to_json(result).alias("result"))
 
 
+#: The rule that a result names. Fixed value.
+RULE = "MM001"
+
+
 def sarif(matches: DataFrame, tool: str, limit: int = 5000) -> str:
     """A SARIF document of the `limit` most similar matches; the rows themselves are written by sarif_results().write."""
     rows = sarif_results(matches.orderBy(F.desc("similarity"), "source", "target").limit(limit)).collect()

@@ -57,10 +57,10 @@ def test_library_round_trip(spark, tmp_path):
 
 
 def test_reports(spark):
-    rows = spark.createDataFrame([("a|1", "<b>", 95.0), ("c", "x@y.org", 85.0), ("e", "f", 70.0)], "source string, target string, similarity double")
+    rows = spark.createDataFrame([("a|1", "<b>", 95.0), ("c", "token = 'x'", 85.0), ("e", "f", 70.0)], "source string, target string, similarity double")
     run = json.loads(reports.sarif(rows, "t"))["runs"][0]
     assert [r["level"] for r in run["results"]] == ["error", "warning", "note"]
-    assert run["results"][1]["relatedLocations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "[EMAIL]"
+    assert run["results"][1]["relatedLocations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "token = '***REDACTED***'"
     assert "| a\\|1 | <b> | 95.0 |" in reports.markdown(rows, "R")
     assert "&lt;b&gt;" in reports.html_page(rows, "R")
     seen = []
