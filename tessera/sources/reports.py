@@ -35,7 +35,7 @@ RULE = "MM001"
 def sarif(matches: DataFrame, tool: str, limit: int = 5000) -> str:
     """A SARIF document of the `limit` most similar matches; the rows themselves are written by sarif_results().write."""
     rows = sarif_results(matches.orderBy(F.desc("similarity"), "source", "target").limit(limit)).collect()
-    driver = {"name": tool, "rules": [{"id": "MM001", "name": "SimilarCode"}]}
+    driver = {"name": tool, "rules": [{"id": RULE, "name": "SimilarCode"}]}
     return json.dumps({"$schema": SARIF_SCHEMA, "version": SARIF_VERSION, "runs": [{"tool": {"driver": driver}, "results": [json.loads(r.result) for r in rows]}]})
 
 
