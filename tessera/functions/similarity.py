@@ -48,6 +48,11 @@ def jaccard_sets(a: Column, b: Column) -> Column:
     return jaccard(F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
 
 
+def sets_differ(a: Column, b: Column) -> Column:
+    """Whether one of two arrays has an element that the other hasn't."""
+    return (F.size(F.array_except(a, b)) > 0) | (F.size(F.array_except(b, a)) > 0)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -125,10 +130,10 @@ def ir_similarity(types: Column, depth: Column, count: Column, other_types: Colu
     return 0.5 * jaccard_sets(types, other_types) / 100 + deep + many
 
 
-def view_similarity(overlap: Column, depth: Column, other_depth: Column, count: Column, other_count: Column) -> Column:
-    """0 to 1, of one view: half its types' overlap, a quarter each for the ratios of depth and count."""
-    ratio = lambda a, b: F.when(F.greatest(a, b) == 0, 1.0).otherwise(F.least(a, b) / F.greatest(a, b))
-    return 0.5 * overlap + 0.25 * ratio(depth, other_depth) + 0.25 * ratio(count, other_count)
+def view_similarity(types: Column, depth: Column, count: Column, other_types: Column, other_depth: Column, other_count: Column) -> Column:
+    """0 to 1, of one view: as of trees; 1 if neither has types, 0 if one has none."""
+    both = ir_similarity(types, depth, count, other_types, other_depth, other_count)
+    return F.when((F.size(types) == 0) & (F.size(other_types) == 0), 1.0).when((F.size(types) == 0) | (F.size(other_types) == 0), 0.0).otherwise(both)
 
 
 def confidence(n: Column, ratio: Column, mean: Column) -> Column:

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VIEWS = {"winnowing": 0.4, "ast": 0.25, "token": 0.2, "behavior": 0.15}
+from tessera.functions.similarity import FUSION as VIEWS
+
 
 
 def _ncd():

@@ -116,7 +116,20 @@ def banded_candidates(sigs: DataFrame, rows: int, key: str = "id") -> DataFrame:
 
 
 def vector_buckets(vectors: DataFrame, bands: int = 8, rows: int = 4, key: str = "id") -> DataFrame:
-    """(id, band, bucket) of vectors: rounded slots of each band, joined and hashed."""
-    text = lambda i: F.array_join(F.transform(F.slice("v", i * rows + 1, rows), lambda x: F.round(x * 16).cast("long").cast("string")), ",")
-    slots = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.substring(F.md5(text(i).cast("binary")), 1, 8).alias("bucket")))
+    """(id, band, bucket) of vectors: the slots of each band with four decimals, joined and hashed.
+
+    Bands past the vector's end are left out, and bands of zeros only, in which nearly all sparse vectors would meet.
+    """
+    text = lambda i: F.array_join(F.transform(F.slice("v", i * rows + 1, rows), lambda x: F.replace(F.format_number(x, 4), F.lit(","), F.lit(""))), ",")
+    within = F.filter(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: (i * rows < F.size("v")) & F.exists(F.slice("v", i * rows + 1, rows), lambda x: x != 0))
+    slots = F.transform(within, lambda i: F.struct(i.alias("band"), F.substring(F.md5(text(i).cast("binary")), 1, 8).alias("bucket")))
     return vectors.select(key, F.explode(slots).alias("s")).select(key, "s.band", "s.bucket")
+
+
+def vector_lookup(query: DataFrame, index: DataFrame, k: int, least: int = 2, key: str = "id") -> DataFrame:
+    """(a, b, bands, cosine, rank): for each query vector the k nearest of those that agree with it in `least` bands; ties by id."""
+    a, b = vector_buckets(query, key=key).withColumnRenamed(key, "a"), vector_buckets(index, key=key).withColumnRenamed(key, "b")
+    met = a.join(b, ["band", "bucket"]).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("bands")).where(F.col("bands") >= least)
+    both = met.join(query.select(F.col(key).alias("a"), F.col("v").alias("va")), "a").join(index.select(F.col(key).alias("b"), F.col("v").alias("vb")), "b")
+    scored = both.select("a", "b", "bands", F.round(similarity.cosine(F.col("va"), F.col("vb")), 6).alias("cosine"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("rank") <= k)

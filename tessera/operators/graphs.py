@@ -35,3 +35,19 @@ def roots(walks: DataFrame) -> DataFrame:
 
 def children(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("parent").alias("node")).agg(F.array_sort(F.collect_set("node")).alias("children"))
+
+
+def descendants(walks: DataFrame) -> DataFrame:
+    """(node, descendant, hops): what was cloned from a node, level by level, from the walks of `ancestors`."""
+    return walks.where("hops > 0").select(F.col("ancestor").alias("node"), F.col("node").alias("descendant"), "hops")
+
+
+def recorded(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Detection results (source, target, similarity, seq) as lineage: nodes (node, is_source) and edges with one parent each.
+
+    A target is a clone of its source, the last by seq if it has several; a node that is no target is a source.
+    """
+    links = parents(matches.where("source <> target").select(F.col("target").alias("node"), F.col("source").alias("parent"), "similarity", "seq"))
+    ends = matches.select(F.col("source").alias("node")).unionByName(matches.select(F.col("target").alias("node"))).distinct()
+    marked = ends.join(links.select("node", F.lit(False).alias("is_source")), "node", "left")
+    return marked.select("node", F.coalesce("is_source", F.lit(True)).alias("is_source")), links

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,9 +110,9 @@ def rule_condition(rule: dict) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def apply_rules(matches: DataFrame, rules: list[dict]) -> DataFrame:
+def apply_rules(matches: DataFrame, rules: list[dict], name: str = "name", condition: Callable[[dict], Column] = rule_condition) -> DataFrame:
     """Rows that no exclude rule fits, with the names and tags of the rules that do."""
-    fits = F.array_compact(F.array(*[F.when(rule_condition(r), F.struct(F.lit(r["name"]).alias("name"), F.lit(r.get("action", "flag")).alias("action"), F.array(*[F.lit(t) for t in r.get("tags", [])]).cast("array<string>").alias("tags"))) for r in rules]))
+    fits = F.array_compact(F.array(*[F.when(condition(r), F.struct(F.lit(r[name]).alias("name"), F.lit(r.get("action", "flag")).alias("action"), F.array(*[F.lit(t) for t in r.get("tags", [])]).cast("array<string>").alias("tags"))) for r in rules]))
     marked = matches.withColumn("__fits", fits).where(~F.exists("__fits", lambda f: f["action"] == "exclude"))
     return marked.withColumn("rules", F.transform("__fits", lambda f: f["name"])).withColumn("tags", F.array_sort(F.array_distinct(F.flatten(F.transform("__fits", lambda f: f["tags"]))))).drop("__fits")
 

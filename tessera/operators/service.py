@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import operator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,17 +36,23 @@ def latest(events: DataFrame, key: str, order: list[str], columns: list[str]) ->
     return events.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("e")).select(key, *[f"e.{c}" for c in columns])
 
 
-def alert_states(samples: DataFrame, key: str, threshold: float, cooldown_s: float) -> DataFrame:
-    """(key, ts, seq, value, state): FIRING when over the threshold and the cooldown since the last firing is over, else PENDING; OK under it.
+#: When a value breaks its rule.
+COMPARISONS = {"gt": operator.gt, "ge": operator.ge, "lt": operator.lt, "le": operator.le, "eq": operator.eq}
+
+
+def alert_states(samples: DataFrame, key: str, threshold: float, cooldown_s: float, comparison: str = "gt") -> DataFrame:
+    """(key, ts, seq, value, state): FIRING when the comparison with the threshold holds and the cooldown since the last firing is over, else PENDING; OK where it doesn't hold.
 
     A cooldown depends on the firings before it, so each key is folded in the order of time, in bounded state.
     """
 
+    broken = COMPARISONS[comparison]
+
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["ts", "seq"])
         last, out = None, []
         for ts, value in zip(frame["ts"], frame["value"], strict=True):
-            if value <= threshold:
+            if not broken(value, threshold):
                 out.append("OK")
             elif last is None or (ts - last).total_seconds() >= cooldown_s:
                 last = ts

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import hashing, similarity, text
-from tessera.operators import edges, fingerprints, graphs, matches, service
+from tessera.operators import edges, fingerprints, graphs, matches, service, vector_lists
 from tessera.sources import library as exchange
 from tessera.sources import reports, tasks
 from tessera.streaming import events as streams
@@ -18,6 +18,8 @@ ORACLE: dict[str, str] = {}
 
 THRESHOLD = 70.0
 SNAPSHOT = "1998-01-01"
+#: Lists of the vector index, and how many of them a query reads.
+LISTS, PROBES = 16, 12
 
 
 def query(sql: str | None = None):
@@ -170,37 +172,6 @@ def exclude_project(spark, sf_dir):
     return module_fingerprints(spark, sf_dir).join(own, "id", "left_anti").groupBy("id").agg(F.count("*").alias("n"))
 
 
-_LINES = "ln AS (SELECT doc_id AS id, lang, unnest(string_split(text, chr(10))) AS x FROM documents)"
-_IR = f"{_LINES}, kinds AS (SELECT id, lang, CASE WHEN regexp_matches(x, '[?]') THEN 'CONDITIONAL' WHEN regexp_matches(x, '=') THEN 'ASSIGNMENT' WHEN regexp_matches(x, '[(]') THEN 'CALL' WHEN regexp_matches(x, '^[0-9]') THEN 'LITERAL' WHEN len(x) > 200 THEN 'BLOCK' ELSE 'IDENTIFIER' END AS kind FROM ln WHERE x <> ''), ir AS (SELECT id, any_value(lang) AS lang, list_sort(list(DISTINCT kind)) AS types, count(*) AS n, len(list(DISTINCT kind)) AS depth FROM kinds GROUP BY id)"
-
-
-def ir_trees(spark, sf_dir) -> DataFrame:
-    """(id, lang, types, n, depth): line kinds of a document, as a flat tree."""
-    x = F.col("x")
-    kind = F.when(x.rlike("[?]"), "CONDITIONAL").when(x.rlike("="), "ASSIGNMENT").when(x.rlike("[(]"), "CALL").when(x.rlike("^[0-9]"), "LITERAL").when(F.length(x) > 200, "BLOCK").otherwise("IDENTIFIER")
-    lines = modules(spark, sf_dir).select("id", "lang", F.explode(F.split("text", "\n")).alias("x")).where("x <> ''").withColumn("kind", kind)
-    return lines.groupBy("id").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_set("kind")).alias("types"), F.count("*").alias("n")).withColumn("depth", F.size("types").cast("long"))
-
-
-@query(f"WITH {_IR} SELECT array_to_string(types, '+') AS types, depth, count(*) AS trees, sum(n)::BIGINT AS nodes FROM ir GROUP BY 1, 2")
-def ir_lines(spark, sf_dir):
-    return ir_trees(spark, sf_dir).groupBy(F.array_join("types", "+").alias("types"), "depth").agg(F.count("*").alias("trees"), F.sum("n").alias("nodes"))
-
-
-_SHAPES = f"{_IR}, shapes AS (SELECT lang, array_to_string(types, '+') AS k, any_value(types) AS types, any_value(depth) AS depth, n, count(*) AS trees FROM ir GROUP BY lang, array_to_string(types, '+'), n), xl AS (SELECT a.lang AS lang_a, b.lang AS lang_b, a.trees * b.trees AS pairs, 0.5 * len(list_intersect(a.types, b.types)) / len(list_distinct(list_concat(a.types, b.types))) + 0.25 / (1 + 0.2 * abs(a.depth - b.depth)) + 0.25 * (1 - 0.3 * abs(a.n - b.n) / greatest(a.n, b.n, 1)) AS score FROM shapes a JOIN shapes b ON a.lang < b.lang AND a.k = b.k)"
-
-
-@query(f"WITH {_SHAPES} SELECT lang_a, lang_b, sum(pairs)::BIGINT AS pairs, round(max(score), 6) AS best FROM xl WHERE score >= 0.9 GROUP BY 1, 2")
-def cross_language_pairs(spark, sf_dir):
-    """Pairs of trees of different languages with the same line kinds; equal trees are counted, not paired."""
-    shapes = ir_trees(spark, sf_dir).groupBy("lang", "types", "depth", "n").agg(F.count("*").alias("trees"))
-    a = shapes.select([F.col(c).alias(f"{c}_a") for c in shapes.columns])
-    b = shapes.select([F.col(c).alias(f"{c}_b") for c in shapes.columns])
-    score = similarity.ir_similarity(F.col("types_a"), F.col("depth_a"), F.col("n_a"), F.col("types_b"), F.col("depth_b"), F.col("n_b"))
-    pairs = a.join(b, F.col("types_a") == F.col("types_b")).where("lang_a < lang_b").withColumn("score", score).where("score >= 0.9")
-    return pairs.groupBy("lang_a", "lang_b").agg(F.sum(F.col("trees_a") * F.col("trees_b")).alias("pairs"), F.round(F.max("score"), 6).alias("best"))
-
-
 _BYDATE = f"old AS (SELECT o_custkey AS k, count(*) AS v, sum(o_totalprice) AS t FROM orders WHERE o_orderdate < '{SNAPSHOT}' GROUP BY 1), new AS (SELECT o_custkey AS k, count(*) AS v, sum(o_totalprice) AS t FROM orders WHERE o_orderdate >= '1995-01-01' GROUP BY 1)"
 
 
@@ -351,12 +322,12 @@ def normalize_vectors(spark, sf_dir):
     return v.select("id", F.round(similarity.dot(F.col("v"), F.col("v")), 4).alias("squared"), F.round(unit, 4).alias("unit_sum"))
 
 
-@query("""WITH b AS (SELECT vec_id AS id, unnest(range(8)) AS band, unnest(list_transform(range(8), lambda i: substr(md5(array_to_string(list_transform(embedding[i*4+1:i*4+4], lambda x: round(x::DOUBLE * 16)::BIGINT::VARCHAR), ',')), 1, 8))) AS bucket FROM embeddings)
-    SELECT x.id AS a, y.id AS b, count(*) AS bands FROM b x JOIN b y ON x.band = y.band AND x.bucket = y.bucket AND x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 2""")
-def vector_lsh_candidates(spark, sf_dir):
-    b = fingerprints.vector_buckets(vectors(spark, sf_dir))
-    x, y = b.withColumnRenamed("id", "a"), b.withColumnRenamed("id", "b")
-    return x.join(y, ["band", "bucket"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("bands")).where("bands >= 2")
+@query()
+def vector_index(spark, sf_dir):
+    """The five nearest by an index of lists, of the ids divisible by 20 against all vectors; what isn't exact is left out of SQL."""
+    v = vectors(spark, sf_dir)
+    found = vector_lists.nearest(v.where("id % 20 = 0"), v, vector_lists.centroids(v, LISTS), PROBES, 5)
+    return found.select("a", "b", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
@@ -430,15 +401,6 @@ def weighted_fusion(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(similarity.fused(views), 6).alias("fused"))
 
 
-@query(f"WITH {_IR} SELECT a.id AS a, b.id AS b, round(0.5 * len(list_intersect(a.types, b.types)) / len(list_distinct(list_concat(a.types, b.types))) + 0.25 * least(a.depth, b.depth) / greatest(a.depth, b.depth) + 0.25 * least(a.n, b.n) / greatest(a.n, b.n), 6) AS similarity FROM ir a JOIN ir b ON b.id = a.id + 1")
-def multiview_similarity(spark, sf_dir):
-    t = ir_trees(spark, sf_dir)
-    a, b = t.select([F.col(c).alias(f"{c}_a") for c in t.columns]), t.select([F.col(c).alias(f"{c}_b") for c in t.columns])
-    joined = a.join(b, F.col("id_b") == F.col("id_a") + 1)
-    overlap = similarity.jaccard_sets(F.col("types_a"), F.col("types_b")) / 100
-    return joined.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round(similarity.view_similarity(overlap, F.col("depth_a"), F.col("depth_b"), F.col("n_a"), F.col("n_b")), 6).alias("similarity"))
-
-
 def _quoted(pattern: str) -> str:
     return "'(?i)" + pattern.replace("'", "''") + "'"
 
@@ -506,7 +468,8 @@ def similarity_histogram(spark, sf_dir):
     return matches.histogram(document_matches(spark, sf_dir, 40.0), "similarity")
 
 
-_SRC = [f"src{i}" for i in range(5)]
+#: The sources that the tables have.
+_SRC = [f"src{i}" for i in range(20)]
 
 
 @query(f"WITH {_MATCHES} SELECT source, " + ", ".join(f"round(avg(similarity) FILTER (target = '{s}'), 6) AS {s}" for s in _SRC) + " FROM m GROUP BY source")
