@@ -48,6 +48,11 @@ def jaccard_sets(a: Column, b: Column) -> Column:
     return jaccard(F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
 
 
+def node_jaccard(a: Column, b: Column) -> Column:
+    """Of sets of nodes; 0 if either is empty."""
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(jaccard_sets(a, b))
+
+
 def sets_differ(a: Column, b: Column) -> Column:
     """Whether one of two arrays has an element that the other hasn't."""
     return (F.size(F.array_except(a, b)) > 0) | (F.size(F.array_except(b, a)) > 0)
@@ -123,6 +128,14 @@ def multiset_jaccard(minima: Column, maxima: Column) -> Column:
     return F.when(maxima == 0, 100.0).otherwise(minima * 100.0 / maxima)
 
 
+def node_multiset(a: Column, b: Column) -> Column:
+    """Multiset Jaccard of two arrays, each row by itself."""
+    every = F.array_distinct(F.concat(a, b))
+    count = lambda s, x: F.size(F.filter(s, lambda y: y == x))
+    total = lambda f: F.aggregate(F.transform(every, f), F.lit(0), lambda s, x: s + x)
+    return multiset_jaccard(total(lambda x: F.least(count(a, x), count(b, x))), total(lambda x: F.greatest(count(a, x), count(b, x))))
+
+
 def ir_similarity(types: Column, depth: Column, count: Column, other_types: Column, other_depth: Column, other_count: Column) -> Column:
     """0 to 1: types' overlap, depth and number of nodes."""
     deep = 0.25 / (1 + 0.2 * F.abs(depth - other_depth))

@@ -130,6 +130,22 @@ def gate_status(results: DataFrame) -> DataFrame:
     return results.groupBy("gate").agg(F.when(F.bool_or(F.col("status") == "FAILED"), "FAILED").when(F.bool_or(F.col("status") == "WARNING"), "WARNING").otherwise("PASSED").alias("status"))
 
 
+#: From this similarity on, trees are compared; how far below it they may be; what is left of one that isn't verified. Fixed values.
+VERIFY_FROM, VERIFY_TOLERANCE, UNVERIFIED = 80.0, 10.0, 0.85
+
+
+def deep_verify(pairs: DataFrame, threshold: float = VERIFY_FROM) -> DataFrame:
+    """Adds verified, and lowers similarity where it is false, to pairs (similarity, node_similarity, structure_similarity).
+
+    A pair under the threshold is verified as it is; one whose trees couldn't be read (a null) isn't, nor one whose lesser measure
+    is more than the tolerance below the threshold. Apply the threshold of matches again afterwards.
+    """
+    least = F.when(F.col("node_similarity").isNotNull() & F.col("structure_similarity").isNotNull(), F.least("node_similarity", "structure_similarity"))
+    verified = (F.col("similarity") < threshold) | F.coalesce(least >= threshold - VERIFY_TOLERANCE, F.lit(False))
+    marked = pairs.withColumn("verified", verified)
+    return marked.withColumn("similarity", F.when(F.col("verified"), F.col("similarity")).otherwise(F.col("similarity") * UNVERIFIED))
+
+
 #: Commit messages that speak of a security fix, and code that shows one, whatever the case. Fixed values.
 FIX_MESSAGES = [
     r"\bcve[-_]\d{4}[-_]\d+",

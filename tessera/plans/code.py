@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity, text
-from tessera.operators import fingerprints, graphs, matches, rules, structure
+from tessera.operators import edges, fingerprints, graphs, matches, rules, structure
 from tessera.plans.queries import _MATCHES, document_matches, modules, query, table
+from tessera.sources import tasks
 
 _N = "CAST(l_suppkey % 5 AS STRING)"
 #: A line by part number, for Spark and SQL alike.
@@ -157,6 +158,47 @@ def vector_lsh_candidates(spark, sf_dir):
     return fingerprints.vector_lookup(v.where("id % 20 = 0"), v, 5)
 
 
+@query()
+def deep_verify(spark, sf_dir):
+    """Of each version and the one before: fused similarity, lowered where the node types of their tokens differ too much."""
+    tokens = structure.step(code(spark, sf_dir), nodes=structure.token_types(text.code_tokens(F.col("text"))))
+    pairs = versions(spark, sf_dir, structure.views(tokens).select("id", "nodes", "ast", "dfg", "cfg"))
+    side = lambda s: {v: F.col(s)[v] for v in structure.VIEW_WEIGHTS}
+    scored = pairs.select("a", "b", (structure.fused_similarity(side("x"), side("y")) * 100).alias("similarity"), F.col("x.nodes").alias("nodes_a"), F.col("y.nodes").alias("nodes_b"))
+    measured = edges.structure_ratio(scored).select("a", "b", "similarity", similarity.node_multiset(F.col("nodes_a"), F.col("nodes_b")).alias("node_similarity"), (F.col("ratio") * 100).alias("structure_similarity"))
+    six = lambda c: F.round(c, 6).alias(c)
+    return matches.deep_verify(measured).select("a", "b", six("similarity"), six("node_similarity"), six("structure_similarity"), "verified")
+
+
+# --- version control
+
+
+_BLAME = "h AS (SELECT *, md5(event_id::VARCHAR) AS sha, event_id % 3 = 0 OR lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL AS head FROM events)"
+
+
+@query(f"""WITH {_BLAME}, g AS (SELECT *, row_number() OVER w AS number, sum(head::INT) OVER w AS k FROM h WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT 'src/' || g.user_id || '.py' AS path, g.number, substr(g.sha, 1, 8) AS commit, first.event_type AS author, epoch(first.ts)::BIGINT::VARCHAR AS time, 'x = ' || g.event_id AS line FROM g JOIN g first ON first.user_id = g.user_id AND first.k = g.k AND first.head""")
+def blame_lines(spark, sf_dir):
+    """Each user's events as the blame of a file: a commit each, whose author is stated for the first and every third."""
+    events = table(spark, sf_dir, "events")
+    along = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    sha = F.concat(F.md5(F.col("event_id").cast("string").cast("binary")), F.lit("00000000"))
+    named = (F.col("event_id") % 3 == 0) | F.lag("event_id").over(along).isNull()
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string")
+    each = F.array_compact(F.array(F.concat(sha, F.lit(" 1 1 1")), F.when(named, F.concat(F.lit("author "), "event_type")), F.when(named, F.concat(F.lit("author-time "), seconds)), F.concat(F.lit("\tx = "), F.col("event_id").cast("string"))))
+    rows = events.select(F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.lit(".py")).alias("path"), F.row_number().over(along).alias("place"), each.alias("each"))
+    lines = rows.select("path", "place", F.posexplode("each").alias("p", "line")).select("path", (F.col("place") * 4 + F.col("p")).alias("pos"), "line")
+    return tasks.blame(lines)
+
+
+@query("SELECT event_id, md5(event_id::VARCHAR) AS sha, event_type AS author, user_id::VARCHAR AS date, 'a|b' || event_id AS message FROM events WHERE event_id % 4 <> 0")
+def commit_log(spark, sf_dir):
+    """Events as lines of a log; every fourth lacks its message."""
+    own = [F.md5(F.col("event_id").cast("string").cast("binary")), F.col("event_type"), F.col("user_id").cast("string")]
+    line = F.when(F.col("event_id") % 4 == 0, F.concat_ws("|", *own)).otherwise(F.concat_ws("|", *own, F.concat(F.lit("a|b"), F.col("event_id").cast("string"))))
+    return table(spark, sf_dir, "events").select("event_id", tasks.commit_log(line).alias("c")).where("c is not null").select("event_id", "c.*")
+
+
 # --- rules
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _TASK = "target string, candidates array<string>"
@@ -48,3 +48,24 @@ def name_status(line: Column) -> Column:
     status, path = F.regexp_extract(line, r"^([AMDRC])[0-9]*\t", 1), F.regexp_extract(line, r"^[^\t]*\t(.*)$", 1)
     kind = F.when(status.isin("A", "R", "C"), "added").when(status == "M", "modified").when(status == "D", "deleted")
     return F.when(kind.isNotNull() & (path != ""), F.struct(kind.alias("change"), path.alias("path")))
+
+
+def blame(lines: DataFrame) -> DataFrame:
+    """(path, number, commit, author, time, line) of porcelain blame lines (path, pos, line): one row for each line of the file.
+
+    A commit, an author and a time hold until the next one of the path; a commit is its first 8 characters, `unknown` before the first.
+    """
+    after = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col("line")
+    code = x.startswith("\t")
+    known = lambda head: F.when(x.startswith(head), F.substring(x, len(head) + 1, 1 << 30))
+    commit = F.when(~code & ~x.startswith("author ") & ~x.startswith("author-time "), F.substring(F.nullif(F.regexp_extract(x, "^[0-9a-f]{40}", 0), F.lit("")), 1, 8))
+    held = lambda c, other: F.coalesce(F.last(c, ignorenulls=True).over(after), F.lit(other))
+    rows = lines.select("path", "line", held(commit, "unknown").alias("commit"), held(known("author "), "").alias("author"), held(known("author-time "), "").alias("time"), F.sum(code.cast("int")).over(after).alias("number"))
+    return rows.where(code).select("path", "number", "commit", "author", "time", F.substring(x, 2, 1 << 30).alias("line"))
+
+
+def commit_log(line: Column) -> Column:
+    """(sha, author, date, message) of a line `sha|author|date|message`, whose message may have bars; null where it isn't one."""
+    parts = F.split(line, r"\|", 4)
+    return F.when((F.trim(line) != "") & (F.size(parts) == 4), F.struct(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(["sha", "author", "date", "message"])]))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import similarity
 from tessera.operators import fingerprints, graphs, matches, rules, service, structure, vector_lists
+from tessera.sources import tasks
 
 PYTHON = "import x\n\nclass A:\n    def f(self, a: int, b=2):\n        return a\n\n\n  \ndef g(a,\n      b):\n    x = 1\n\n    def h():\n        pass\n\nx = 2\n    def odd(self):\n"
 
@@ -169,3 +170,24 @@ def test_alert_comparisons(spark, comparison, want):
 def test_sets_differ(spark):
     rows = spark.createDataFrame([(["a"], ["a", "b"]), (["a", "b"], ["b", "a"]), ([], [])], "a array<string>, b array<string>")
     assert [r[0] for r in rows.select(similarity.sets_differ(F.col("a"), F.col("b"))).collect()] == [True, False, False]
+
+
+def test_node_measures(spark):
+    rows = spark.createDataFrame([(["a", "a", "b"], ["a", "b", "b", "c"]), ([], ["a"]), ([], [])], "a array<string>, b array<string>")
+    got = [tuple(r) for r in rows.select(similarity.node_multiset(F.col("a"), F.col("b")), similarity.node_jaccard(F.col("a"), F.col("b"))).collect()]
+    assert got[0] == (pytest.approx(100 * 2 / 5), pytest.approx(100 * 2 / 3)) and got[1] == (0.0, 0.0) and got[2] == (100.0, 0.0)
+
+
+def test_deep_verification(spark):
+    rows = spark.createDataFrame([(79.0, 0.0, 0.0), (80.0, 70.0, 71.0), (100.0, 69.9, 100.0), (90.0, None, 90.0)], "similarity double, node_similarity double, structure_similarity double")
+    got = [(r.verified, round(r.similarity, 6)) for r in matches.deep_verify(rows).collect()]
+    assert got == [(True, 79.0), (True, 80.0), (False, 85.0), (False, 76.5)]
+
+
+def test_blame_and_log(spark):
+    text = ["\tearly", "0" * 40 + " 1 1 1", "author A", "author-time 5", "summary x", "\tone", "f" * 40 + " 2 2", "\ttwo\t", "abc", "author B", "\t"]
+    lines = spark.createDataFrame([("p", i, x) for i, x in enumerate(text)] + [("q", 0, "\tx"), ("r", 0, None)], "path string, pos int, line string")
+    got = [tuple(r) for r in tasks.blame(lines).orderBy("path", "number").collect()]
+    assert got == [("p", 1, "unknown", "", "", "early"), ("p", 2, "00000000", "A", "5", "one"), ("p", 3, "ffffffff", "A", "5", "two\t"), ("p", 4, "ffffffff", "B", "5", ""), ("q", 1, "unknown", "", "", "x")]
+    log = spark.createDataFrame([("s|a|d|m|n",), ("s|a|d",), ("",), (None,), ("s|a|d|",)], "x string").select(tasks.commit_log(F.col("x")).alias("c")).collect()
+    assert [r.c and tuple(r.c) for r in log] == [("s", "a", "d", "m|n"), None, None, None, ("s", "a", "d", "")]
