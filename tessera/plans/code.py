@@ -177,7 +177,7 @@ _BLAME = "h AS (SELECT *, md5(event_id::VARCHAR) AS sha, event_id % 3 = 0 OR lag
 
 
 @query(f"""WITH {_BLAME}, g AS (SELECT *, row_number() OVER w AS number, sum(head::INT) OVER w AS k FROM h WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-    SELECT 'src/' || g.user_id || '.py' AS path, g.number, substr(g.sha, 1, 8) AS commit, first.event_type AS author, epoch(first.ts)::BIGINT::VARCHAR AS time, 'x = ' || g.event_id AS line FROM g JOIN g first ON first.user_id = g.user_id AND first.k = g.k AND first.head""")
+    SELECT 'src/' || g.user_id || '.py' AS path, g.number, substr(g.sha, 1, 8) AS commit, first.event_type AS author, floor(epoch(first.ts))::BIGINT::VARCHAR AS time, 'x = ' || g.event_id AS line FROM g JOIN g first ON first.user_id = g.user_id AND first.k = g.k AND first.head""")
 def blame_lines(spark, sf_dir):
     """Each user's events as the blame of a file: a commit each, whose author is stated for the first and every third."""
     events = table(spark, sf_dir, "events")
