@@ -14,18 +14,30 @@ def parents(edges: DataFrame) -> DataFrame:
 
 
 def ancestors(spark, nodes: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """(node, ancestor, hops, path, strongest): up to `max_hops` steps towards the root, none twice."""
-    nodes.select("node").createOrReplaceTempView("__walk_nodes")
-    edges.select("node", "parent", "similarity").createOrReplaceTempView("__walk_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, ancestor, hops, path, strongest) MAX RECURSION LEVEL {max_hops + 1} AS (
-            SELECT node, node, 0, array(node), CAST(0.0 AS DOUBLE) FROM __walk_nodes
-            UNION ALL
-            SELECT w.node, e.parent, w.hops + 1, array_append(w.path, e.parent), greatest(w.strongest, e.similarity)
-            FROM walk w JOIN __walk_edges e ON w.ancestor = e.node
-            WHERE w.hops < {max_hops} AND NOT array_contains(w.path, e.parent))
-        SELECT * FROM walk
-    """)
+    """(node, ancestor, hops, path, strongest): up to `max_hops` steps towards the root, none twice.
+
+    Chains of parents are doubled until they are long enough: a chain goes on with the chain of its last node. Each node has a row
+    for each of its chains, so nothing bounds how many steps all walks have together, as it does in a recursive query.
+    """
+    steps = edges.select(F.col("node").alias("start"), F.array(F.struct("parent", "similarity")).alias("chain"))
+    reach = 1
+    while reach < max_hops:
+        left = steps.withColumn("last", F.element_at("chain", -1)["parent"])
+        further = steps.select(F.col("start").alias("last"), F.col("chain").alias("further"))
+        # a shorter chain has ended at its root, which has no further one
+        joined = left.join(further, "last", "left")
+        reach = min(2 * reach, max_hops)
+        steps = joined.select("start", F.when(F.col("further").isNull(), F.col("chain")).otherwise(F.slice(F.concat("chain", "further"), 1, reach)).alias("chain"))
+    chains = steps.groupBy("start").agg(F.collect_set("chain").alias("chains"))
+    known = nodes.select("node").join(chains.withColumnRenamed("start", "node"), "node", "left")
+    # of several chains, the steps they begin with are walked once
+    begun = F.flatten(F.transform("chains", lambda c: F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.slice(c, 1, i))))
+    none = F.array(F.array().cast(chains.schema["chains"].dataType.elementType))
+    each = known.select("node", F.explode(F.concat(none, F.coalesce(F.array_distinct(begun), F.array().cast(chains.schema["chains"].dataType)))).alias("chain"))
+    path = F.concat(F.array("node"), F.transform("chain", lambda s: s["parent"]))
+    walks = each.select("node", "chain", path.alias("path")).where((F.size(F.array_distinct("path")) == F.size("path")) & (F.size("chain") <= max_hops))
+    strongest = F.aggregate("chain", F.lit(0.0), lambda s, x: F.greatest(s, x["similarity"].cast("double")))
+    return walks.select("node", F.element_at("path", -1).alias("ancestor"), F.size("chain").alias("hops"), "path", strongest.alias("strongest"))
 
 
 def roots(walks: DataFrame) -> DataFrame:

@@ -138,6 +138,21 @@ def test_lineage_with_a_cycle(spark):
     assert {r.node: r.hops for r in graphs.roots(walks).collect()} == {"a": 2, "b": 2, "c": 2}
 
 
+def test_walks_of_more_rows_than_a_recursive_query_may_have(spark):
+    nodes = spark.range(240_000).select(F.col("id").alias("node"))
+    chains = nodes.where("node % 12 > 0").select("node", (F.col("node") - 1).alias("parent"), (F.col("node") % 12 / 10.0).alias("similarity"))
+    walks = graphs.ancestors(spark, nodes, chains)
+    assert walks.groupBy("hops").count().orderBy("hops").collect() == [(h, 20_000 * (12 - h)) for h in range(11)]
+    last = {r.hops: r for r in walks.where("node = 23").collect()}
+    assert {h: (r.ancestor, r.path, r.strongest) for h, r in last.items()} == {h: (23 - h, list(range(23, 22 - h, -1)), 1.1 if h else 0.0) for h in range(11)}
+
+
+def test_walks_with_several_parents(spark):
+    links = spark.createDataFrame([("d", "b", 0.1), ("d", "c", 0.2), ("b", "a", 0.3), ("c", "a", 0.4), ("a", "d", 0.5)], "node string, parent string, similarity double")
+    walks = graphs.ancestors(spark, links.select("node").distinct(), links)
+    assert sorted((r.path, r.strongest) for r in walks.where("node = 'd'").collect()) == [(["d"], 0.0), (["d", "b"], 0.1), (["d", "b", "a"], 0.3), (["d", "c"], 0.2), (["d", "c", "a"], 0.4)]
+
+
 def test_edges(spark):
     assert edges.ncd("abc" * 50, "abc" * 50) > 80 and edges.ncd("", "") == 100 and edges.ncd("", "x") == 0
     files = spark.createDataFrame([("m.py", "class A:\n    def f(self):\n        return 1\n"), ("bad.py", "def (")], "path string, content string")
