@@ -153,6 +153,12 @@ def test_walks_with_several_parents(spark):
     assert sorted((r.path, r.strongest) for r in walks.where("node = 'd'").collect()) == [(["d"], 0.0), (["d", "b"], 0.1), (["d", "b", "a"], 0.3), (["d", "c"], 0.2), (["d", "c", "a"], 0.4)]
 
 
+def test_lineage_trace_of_many_turns(spark, tmp_path):
+    turns = spark.range(240_000).select(F.floor(F.col("id") / 12).alias("conv_id"), (F.col("id") % 12).cast("int").alias("turn"))
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    assert queries.lineage_trace(spark, str(tmp_path)).count() == 20_000 * sum(12 - h for h in range(1, 11))
+
+
 def test_edges(spark):
     assert edges.ncd("abc" * 50, "abc" * 50) > 80 and edges.ncd("", "") == 100 and edges.ncd("", "x") == 0
     files = spark.createDataFrame([("m.py", "class A:\n    def f(self):\n        return 1\n"), ("bad.py", "def (")], "path string, content string")
