@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -32,6 +33,24 @@ def test_fingerprints_equal_brute_force(spark):
         assert {r.fp for r in found if r.id == i} == brute_fingerprints(c.split(), 5, 3)
 
 
+def test_fingerprints_of_long_texts_in_time(spark):
+    rows = spark.range(100).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.concat(F.lit("w"), F.pmod(F.hash(i, "id"), F.lit(50_000)))), " ").alias("t"))
+    began = time.monotonic()
+    found = fingerprints.fingerprint_positions(rows, text.words(F.col("t")), ["id"])
+    assert found.agg(F.count("*"), F.max("pos")).first()[1] > 19_000 and time.monotonic() - began < 15
+
+
+def test_continuity_of_copies(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = [words, words, words[:200], ["a", "b"], ["a", "b"], ["a", "c"], [], []]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t array<string>")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (0, 3), (6, 7)], "a long, b long")
+    found = {(r.a, r.b): r.continuity for r in fingerprints.token_continuity(rows, pairs).collect()}
+    assert found == {(0, 1): 100.0, (0, 2): 196 * 100 / 296, (1, 2): 196 * 100 / 296, (3, 4): 100.0, (3, 5): 0.0, (0, 3): 0.0, (6, 7): 0.0}
+    runs = {(r.a, r.b): (r.common, r.longest) for r in fingerprints.continuity(fingerprints.fingerprint_positions(rows, F.col("t"), ["id"]), pairs).collect()}
+    assert set(runs) == {(0, 1), (0, 2), (1, 2), (3, 4)} and runs[0, 2] == runs[1, 2] and runs[0, 1] > runs[0, 2] and runs[3, 4] == (1, 0)
+
+
 def test_index_lookup_of_hand_example(spark):
     rows = spark.createDataFrame([("m1", x) for x in (1, 2, 3)] + [("m2", x) for x in (2, 3, 4)], "id string, fp long")
     query = spark.createDataFrame([("q", x) for x in (1, 2, 3)], "id string, fp long")
