@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import similarity
+from tessera.operators import vector_scan
 
 #: The centroids are fitted on so many vectors at most; every vector is indexed.
 FITTED = 4096
@@ -32,25 +32,17 @@ def centroids(vectors: DataFrame, lists: int, fitted: int = FITTED, rounds: int
     return centers
 
 
-def nearest_lists(vector: Column, centers: np.ndarray, n: int) -> Column:
-    """The numbers of the n lists whose centroids are nearest, nearest first."""
-    table = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in c]).alias("c"), F.lit(i).alias("i")) for i, c in enumerate(centers)])
-    by = F.array_sort(F.transform(table, lambda t: F.struct((-similarity.dot(vector, t["c"])).alias("d"), t["i"].alias("i"))))
-    return F.transform(F.slice(by, 1, n), lambda t: t["i"])
-
-
 def nearest(queries: DataFrame, vectors: DataFrame, centers: np.ndarray, probes: int, k: int, key: str = "id", vector: str = "v") -> DataFrame:
     """(a, b, cosine, rank): for each query the k nearest other vectors of the lists it reads; ties by id.
 
-    A vector goes to one list, a query to `probes`. A query's k best are found in each list first, so that a window holds no more than
-    probes * k rows of it. Vectors without numbers are in no list.
+    A vector goes to one list, a query to `probes`. The vectors are scanned in blocks with the queries that read their lists, and a
+    query's k best are found in each task first, so that a window holds no more than k rows of it from each. Vectors without
+    numbers are in no list.
     """
     if not len(centers):
         return queries.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).limit(0)
-    ask = queries.where(F.size(vector) > 0).select(F.col(key).alias("a"), F.col(vector).alias("va"), F.explode(nearest_lists(F.col(vector), centers, probes)).alias("list"))
-    have = vectors.where(F.size(vector) > 0).select(F.col(key).alias("b"), F.col(vector).alias("vb"), F.get(nearest_lists(F.col(vector), centers, 1), F.lit(0)).alias("list"))
-    scored = ask.join(have, "list").where("a <> b").select("a", "b", "list", similarity.cosine(F.col("va"), F.col("vb")).alias("cosine"))
-    best = F.row_number().over(Window.partitionBy("a", "list").orderBy(F.desc("cosine"), "b"))
-    few = scored.withColumn("r", best).where(F.col("r") <= k)
+    length = centers.shape[1]
+    listed = [x.where(F.size(vector) == length).select(key, F.transform(vector, lambda e: e.cast("double")).alias(vector)) for x in (queries, vectors)]
+    few = vector_scan.best(*listed, k, key, vector, centers=centers, probes=probes)
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
     return few.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b", "cosine", "rank")

@@ -1,11 +1,14 @@
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity
-from tessera.operators import fingerprints, graphs, matches, rules, service, structure, vector_lists
+from tessera.operators import fingerprints, graphs, matches, rules, service, structure, vector_lists, vector_scan
+from tessera.plans import queries
 from tessera.sources import tasks
 
 PYTHON = "import x\n\nclass A:\n    def f(self, a: int, b=2):\n        return a\n\n\n  \ndef g(a,\n      b):\n    x = 1\n\n    def h():\n        pass\n\nx = 2\n    def odd(self):\n"
@@ -123,6 +126,27 @@ def test_vector_lists_find_nine_of_ten(spark):
     assert vector_lists.nearest(asked, none, vector_lists.centroids(none, 16), 8, 5).count() == 0
 
 
+def test_vector_scan_of_ties_and_missing_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 8))
+    x[100:400] = x[0]
+    x[500] = 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(800, None), (801, [1.0])], "id long, v array<double>").repartition(3)
+    pairs = rows.where("id in (0, 20, 500, 800)").selectExpr("id as a", "v as va").join(rows.selectExpr("id as b", "v as vb"), F.expr("a <> b"))
+    rank = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    top = lambda t: {tuple(r) for r in t.withColumn("cosine", F.round("cosine", 6)).withColumn("r", F.row_number().over(rank)).where("r <= 7").select("a", "b", "cosine").collect()}
+    scored = pairs.where("size(va) = 8 and size(vb) = 8").withColumn("cosine", similarity.cosine(F.col("va"), F.col("vb")))
+    want = {r for r in top(scored) if r[0] != 800} | {(800, b, None) for b in range(7)}
+    assert top(vector_scan.best(rows.where("id in (0, 20, 500, 800)"), rows, 7, digits=6)) == want
+
+
+def test_cosines_of_many_vectors_in_time(spark, tmp_path):
+    spark.range(12_000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.hash(i, "id").cast("double"))).alias("embedding"), (F.col("id") % 7).cast("int").alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for query in (queries.cross_label_topk, queries.vector_index):
+        began = time.monotonic()
+        assert query(spark, str(tmp_path)).count() == 3000 and time.monotonic() - began < 12
+
+
 def test_rule_files(spark, tmp_path):
     assert [r["id"] for r in rules.load(rules.DEFAULTS)] == ["high-similarity-critical", "exclude-test-files", "sql-injection-risk", "cross-language-clone", "large-clone-block"]
     odd = rules.load("rules: [{id: a}, {id: b, name: B, action: what, severity: ever}, {name: c}]")
