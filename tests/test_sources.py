@@ -56,6 +56,18 @@ def test_library_round_trip(spark, tmp_path):
     assert {r.id for r in library.new_projects(back, projects.where("id = 'p'")).collect()} == {"q", "r"}
 
 
+def test_library_of_a_large_project(spark, tmp_path):
+    projects = spark.createDataFrame([("p", "one"), ("q", "two")], "id string, name string")
+    modules = spark.range(3000).select("id", F.when(F.col("id") == 7, "q").otherwise("p").alias("project_id"))
+    prints = modules.select((F.col("id") * 3).alias("value"), F.lit("ast").alias("type"), F.col("id").alias("module_id"))
+    nested = library.nested(projects, modules, prints)
+    assert nested.agg(F.max(F.size("modules"))).first()[0] < 400
+    nested.write.json(str(tmp_path / "out"))
+    back = spark.read.schema(nested.schema).json(str(tmp_path / "out"))
+    for a, b in zip(library.flattened(back), (projects, modules, prints), strict=True):
+        assert sorted(map(tuple, a.select(b.columns).collect())) == sorted(map(tuple, b.collect()))
+
+
 def test_reports(spark):
     rows = spark.createDataFrame([("a|1", "<b>", 95.0), ("c", "token = 'x'", 85.0), ("e", "f", 70.0)], "source string, target string, similarity double")
     run = json.loads(reports.sarif(rows, "t"))["runs"][0]
