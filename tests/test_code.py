@@ -102,6 +102,18 @@ def test_vector_lookup(spark):
     assert [(r.a, r.b, r.bands) for r in fingerprints.vector_lookup(rows.where("id in (1, 4)"), rows, 5).collect()] == [(1, 2, 2)]
 
 
+def test_vector_lookup_among_copies_in_time(spark):
+    base = [0.5, 0.25, 0.0, 0.25] + [0.0] * 4 + [0.1, 0.2, 0.3, 0.4] + [0.0] * 20
+    near = base[:16] + [0.01] + base[17:]
+    v = F.when(F.col("id") % 3 == 1, F.array(*map(F.lit, near))).otherwise(F.array(*map(F.lit, base)))
+    rows = spark.range(60_000).select("id", v.alias("v"))
+    began = time.monotonic()
+    found = fingerprints.vector_lookup(rows.where("id % 20 = 0"), rows, 5)
+    some = sorted((r["rank"], r.b, r.cosine == 1, r.bands) for r in found.where("a = 60").collect())
+    assert some == [(i + 1, b, True, 2) for i, b in enumerate((0, 2, 3, 5, 6))] and found.where("a = 0").agg(F.max("b")).first()[0] == 8
+    assert found.count() == 15_000 and time.monotonic() - began < 40
+
+
 def test_vector_lists_find_nine_of_ten(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 24)) + rng.normal(size=(12, 24))[rng.integers(0, 12, 1500)]
