@@ -90,8 +90,8 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha:
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, bits: int = BITS) -> Model:
     """Fit on at most `sample` labelled documents, whole texts of them, those with the least hash of their id.
 
-    Executors turn texts into distinct coordinates; the driver gets those (bounded by `sample` times 2 ** bits, some
-    kilobytes each for usual texts) and fits. `learn` is a condition on the id. Ids without a label, with a null label
+    Executors turn texts into distinct coordinates; one task gets those (bounded by `sample` times 2 ** bits, some
+    kilobytes each for usual texts) and fits, the driver gets the model only. `learn` is a condition on the id. Ids without a label, with a null label
     or without a document are left out; of rows that share an id the label is the largest. Without any label all
     scores are 0.5.
     """
@@ -108,9 +108,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
             own = [np.unique(features(words(t), bits)).astype("<u4").tobytes() for t in frame["raw"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "x": own})
 
-    rows = texts.mapInPandas(thrifty(coordinates), "doc_id long, label int, x binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
-    return fit([np.frombuffer(r.x, dtype="<u4") for r in rows], np.asarray([r.label for r in rows], dtype=float), bits)
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((r for frame in batches for r in zip(frame["doc_id"], frame["x"], frame["label"], strict=True)), key=lambda r: r[:2])
+        model = fit([np.frombuffer(x, dtype="<u4") for _, x, _ in rows], np.asarray([label for *_, label in rows], dtype=float), bits)
+        yield pd.DataFrame({"index": [model.index.astype("<i8").tobytes()], "weight": [model.weight.astype("<f8").tobytes()], "bias": [model.bias]})
+
+    samples = texts.mapInPandas(thrifty(coordinates), "doc_id long, label int, x binary").repartition(1)
+    row = samples.mapInPandas(thrifty(fitted), "index binary, weight binary, bias double").first()
+    if row is None:  # a plan without rows has no task
+        return fit([], np.zeros(0), bits)
+    return Model(np.frombuffer(row["index"], dtype="<i8"), np.frombuffer(row["weight"], dtype="<f8"), row["bias"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -376,6 +377,20 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5}
 
 
+def test_toxicity_is_not_fitted_by_the_driver(spark, monkeypatch):
+    driver, fit = os.getpid(), toxicity.fit
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return fit(*args)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    docs = documents(spark, ["vile scum " * (i % 2) + f"kind words {i % 7}" for i in range(200)])
+    labels = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert all((got[i] >= 0.5) == i % 2 for i in range(200))
+
+
 def test_language(spark):
     rng = random.Random(6)
     syllables = {"aa": ["the", "ing", "sh", "er"], "bb": ["ung", "sch", "ie", "\u00fc"]}
