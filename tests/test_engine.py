@@ -51,6 +51,30 @@ def test_continuity_of_copies(spark):
     assert set(runs) == {(0, 1), (0, 2), (1, 2), (3, 4)} and runs[0, 2] == runs[1, 2] and runs[0, 1] > runs[0, 2] and runs[3, 4] == (1, 0)
 
 
+def test_modules_are_read_once_for_their_continuity(spark, tmp_path, monkeypatch):
+    texts = [" ".join(f"w{j + (i % 5 == 0)}" for j in range(i % 5 * 7, 60 + i % 3)) for i in range(40)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(map(tuple, queries.fingerprint_continuity(spark, str(tmp_path)).collect()))
+    read = spark.sparkContext.accumulator(0)
+
+    def words(t):
+        read.add(1)
+        return t.split()
+
+    monkeypatch.setattr(text, "words", F.udf(words, "array<string>"))
+    assert want and sorted(map(tuple, queries.fingerprint_continuity(spark, str(tmp_path)).collect())) == want
+    assert read.value == len(texts)
+
+
+def test_fingerprint_sets_of_repeated_ids(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, ""), (4, "a b c d e f g h"), (4, "x y z x y z x y z")], "id long, t string")
+    words = text.words(F.col("t"))
+    sets = {r.id: r for r in fingerprints.fingerprint_sets(rows, words, "id", 3, 2).collect()}
+    long = fingerprints.fingerprint_positions(rows, words, ["id"], 3, 2).collect()
+    assert {i: list(zip(r.fps, r.at, strict=True)) for i, r in sets.items()} == {i: sorted((r.fp, r.pos) for r in long if r.id == i) for i in (1, 2, 4)}
+    assert sets[1]["class"] == sets[2]["class"] != sets[4]["class"] and sets[1].place == sets[2].place
+
+
 def test_index_lookup_of_hand_example(spark):
     rows = spark.createDataFrame([("m1", x) for x in (1, 2, 3)] + [("m2", x) for x in (2, 3, 4)], "id string, fp long")
     query = spark.createDataFrame([("q", x) for x in (1, 2, 3)], "id string, fp long")
