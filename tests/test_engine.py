@@ -157,6 +157,22 @@ def test_minhash_finds_what_64_bands_promise(spark, tmp_path):
     assert {len(r.signature.split("-")) for r in queries.minhash_signatures(spark, str(tmp_path)).collect()} == {128}
 
 
+def test_tuning_counts_pairs_of_many_copies(spark, tmp_path):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, texts[0]).otherwise(texts[1]).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    n = 10_000 * 9_999 // 2 + 20_000 * 19_999 // 2
+    assert sorted(map(tuple, queries.minhash_tuning(spark, str(tmp_path)).collect())) == [(t, n, n, 1.0, 1.0) for t in (0.1, 0.3, 0.5, 0.7, 0.9)]
+
+
+def test_signatures_by_hand(spark):
+    rng = random.Random(4)
+    sets = [[rng.randrange(2**31 - 1) for _ in range(n)] for n in (1, 2, 40_000, 7)] + [[0, 2**31 - 2]]
+    rows = spark.createDataFrame(list(enumerate(sets)), "id int, fps array<int>")
+    perms = [*hashing.permutations(6), (2**31 - 2, 2**31 - 2), (1, 0)]
+    assert {r.id: r.sig for r in fingerprints.set_signatures(rows, perms).collect()} == {i: [min((a * x + b) % (2**31 - 1) for x in s) for a, b in perms] for i, s in enumerate(sets)}
+
+
 def test_measures(spark):
     row = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>").select(
         similarity.cosine(F.col("a"), F.col("a")).alias("same"), similarity.cosine(F.col("a"), F.col("z")).alias("zero"), similarity.euclidean(F.col("a"), F.col("b")).alias("d"),
