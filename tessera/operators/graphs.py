@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Steps of a traced path. The search for a root has no such bound.
 MAX_HOPS = 10
 
+_own_folder: list[str] = []
+
 
 def parents(edges: DataFrame) -> DataFrame:
     """One parent for each node: of edges (node, parent, similarity, seq) the last by seq."""
@@ -45,6 +51,51 @@ def roots(walks: DataFrame) -> DataFrame:
     return walks.groupBy("node").agg(F.max_by("ancestor", "hops").alias("root"), F.max("hops").alias("hops"))
 
 
+def _rounds_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, removed when the driver's JVM ends; a temporary one only for a local master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="tessera-"))
+        shared = _own_folder[0]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/sources-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def sources(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root, hops): the node without a parent that each node's parents lead to, however far it is.
+
+    Edges have one parent for each node. A node of a cycle, or below one, has no source: root and hops are null.
+    Each round, an open node (one whose `to` has a parent) takes over where its `to` points, so steps double. While any open node
+    leads to a root, some node is as far from it as this round reaches, and a round that closes none has cycles only left.
+    Rounds are written tables of one row a node, so neither the rows nor the plan grow with the length of the chains.
+    """
+    folder, jvm = _rounds_folder(spark), spark.sparkContext._jvm
+
+    def written(table: DataFrame, number: int) -> DataFrame:
+        table.write.parquet(f"{folder}/{number}")
+        return spark.read.schema(table.schema).parquet(f"{folder}/{number}")
+
+    linked = edges.select(F.col("node").alias("parent"), F.lit(True).alias("has_parent"))
+    first = edges.join(linked, "parent", "left").select("node", F.col("parent").alias("to"), F.lit(1).cast("long").alias("hops"), F.coalesce("has_parent", F.lit(False)).alias("open"))
+    number, now = 0, written(first, 0)
+    before, left = None, now.where("open").count()
+    while left and left != before:
+        further = now.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("hops").alias("more"), F.col("open").alias("still"))
+        moved = now.where("open").join(further, "to").select("node", F.col("further").alias("to"), (F.col("hops") + F.col("more")).alias("hops"), F.col("still").alias("open"))
+        now = written(now.where("not open").unionByName(moved), number + 1)
+        done = jvm.org.apache.hadoop.fs.Path(f"{folder}/{number}")
+        done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
+        number, before, left = number + 1, left, now.where("open").count()
+    found = nodes.select("node").distinct().join(now, "node", "left")
+    root = F.when(F.col("open").isNull(), F.col("node")).when(~F.col("open"), F.col("to"))
+    hops = F.when(F.col("open").isNull(), F.lit(0).cast("long")).when(~F.col("open"), F.col("hops"))
+    return found.select("node", root.alias("root"), hops.alias("hops"))
+
+
 def children(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("parent").alias("node")).agg(F.array_sort(F.collect_set("node")).alias("children"))
 

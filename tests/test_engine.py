@@ -218,6 +218,26 @@ def test_lineage_trace_of_many_turns(spark, tmp_path):
     assert queries.lineage_trace(spark, str(tmp_path)).count() == 20_000 * sum(12 - h for h in range(1, 11))
 
 
+def test_source_farther_than_a_traced_path(spark, tmp_path):
+    # conversation 1 lacks turn 300, so its turns have two sources; null turns have no parent
+    turns = spark.range(1_403).where("id <> 300").select(F.when(F.col("id") < 1_000, 1).otherwise(2).alias("conv_id"), F.when(F.col("id") < 1_400, F.col("id") % 1_000).alias("turn"))
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.node: (r.root, r.hops) for r in queries.find_source(spark, str(tmp_path)).collect()}
+    want = {f"1:{t}": ("1:0", t) if t < 300 else ("1:301", t - 301) for t in range(1_000) if t != 300} | {f"2:{t}": ("2:0", t) for t in range(400)}
+    assert got == want | {None: (None, 0)}
+
+
+def test_sources_of_a_tree_and_of_cycles(spark):
+    # node n > 1 is a clone of n // 2, and a chain of 40 hangs below node 5; 900 and 901 are each other's clones, 902 to 940 lead to them
+    parent = {n: n // 2 for n in range(2, 64)} | {n: n - 1 if n > 100 else 5 for n in range(100, 140)} | {900: 901, 901: 900} | {n: n - 1 for n in range(902, 941)} | {950: 950}
+    links = spark.createDataFrame([(n, p, 0.5) for n, p in parent.items()], "node long, parent long, similarity double")
+    nodes = spark.createDataFrame([(n,) for n in [1, 7000, *parent]], "node long")
+    depth = {1: 0} | {n: n.bit_length() - 1 for n in range(2, 64)} | {n: n - 97 for n in range(100, 140)}
+    want = {n: (1, d) for n, d in depth.items()} | {7000: (7000, 0)} | {n: (None, None) for n in parent if n >= 900}
+    assert {r.node: (r.root, r.hops) for r in graphs.sources(spark, nodes, links).collect()} == want
+    assert graphs.sources(spark, nodes, links.limit(0)).where("root = node and hops = 0").count() == len(want)
+
+
 def test_edges(spark):
     assert edges.ncd("abc" * 50, "abc" * 50) > 80 and edges.ncd("", "") == 100 and edges.ncd("", "x") == 0
     files = spark.createDataFrame([("m.py", "class A:\n    def f(self):\n        return 1\n"), ("bad.py", "def (")], "path string, content string")
